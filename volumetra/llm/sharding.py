@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,25 @@ def _smallest(ends: list[int], shards: int, low: int, loose: list[tuple[int, int
     return low
 
 
+def _even(ends: list[int], shards: int, room: int) -> list[int]:
+    """shards - 1 cuts that keep to the capacity, each nearest to an even share of what is left.
+
+    Filling greedily from the end says how far each cut must reach at least.
+    """
+    least, at = [], ends[-1]
+    for _ in range(shards - 1):
+        at = ends[bisect_left(ends, max(0, at - room))]
+        least.append(at)
+    cuts, at = [], 0
+    for j, low in enumerate(reversed(least)):
+        ideal = at + (ends[-1] - at) / (shards - j)
+        i = bisect_left(ends, ideal)
+        near = [e for e in ends[max(0, i - 1) : i + 1] if max(low, at) <= e <= at + room]
+        at = min(near, key=lambda e: (abs(e - ideal), e)) if near else max(at, low) if ideal < low else _reach(ends, at, room)
+        cuts.append(at)
+    return cuts
+
+
 def plan_cuts(summary, shards: int) -> tuple[list[int], list[int]]:
     """Find the cuts over groups in the order of their keys.
 
@@ -107,9 +126,8 @@ def plan_cuts(summary, shards: int) -> tuple[list[int], list[int]]:
         most = _smallest(ends, left, floor)
         least = _smallest(ends, left, floor, spans) if spans else most
         if least == most:
-            _, cuts = _fits(ends, left, most)
             last = {e: row[i - 1][1] for i, e in enumerate(ends) if i}
-            return own, [last.get(c, -1) for c in cuts[:-1]]
+            return own, [last.get(c, -1) for c in _even(ends, left, most)]
         low_cuts, high_cuts = _fits(ends, left, least)[1], _fits(ends, left, most, spans)[1]
         which, starts = set(), [a for a, _, _ in loose]
         for j in range(left):
