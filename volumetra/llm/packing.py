@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -28,18 +29,19 @@ def default_tokenizer() -> str:
 def _ids(texts: Sequence[str], path: str, by_word: bool) -> list[bytes]:
     """Little-endian ids of each text. With by_word each distinct word is encoded once."""
     if path not in _words:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only spin
         from tokenizers import Tokenizer
 
         _words[path] = (Tokenizer.from_file(path), {})
     tokenizer, known = _words[path]
-    encode = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(xs, add_special_tokens=False)]
+    encode = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
     if not by_word:
         return encode(list(texts))
     if len(known) > CACHED:
         known.clear()
     # str.split() and the tokenizer's \s differ in \x1c-\x1f; those texts go whole
     split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    new = list({w for ws in split if ws for w in ws if w not in known})
+    new = list(set().union(*(ws for ws in split if ws)) - known.keys())
     for i in range(0, len(new), 20_000):
         known.update(zip(new[i : i + 20_000], encode(new[i : i + 20_000]), strict=True))
     get = known.__getitem__

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, media, mixing, packing, sharding, simhash, topk
+from . import chaining, langid, linededup, media, mixing, packing, sharding, simhash, topk
 from .common import documents, prepare
 
 
@@ -42,12 +42,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_media_columns, op4_sharding, op6_simhash_near_dedup, op7_exact_top_k, op8_mixing, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_media_columns, op4_sharding, op6_simhash_near_dedup, op7_exact_top_k, op8_mixing, op9_substring_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op7_exact_top_k": f"""
