@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, langid, linededup, media, mixing, packing, sharding, simhash, topk
+from . import bwt, chaining, langid, linededup, media, mixing, packing, sharding, simhash, topk
 from .common import documents, prepare
 
 
@@ -28,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_media_columns, op4_sharding, op6_simhash_near_dedup, op7_exact_top_k, op8_mixing, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_media_columns, op4_sharding, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_exact_top_k, op8_mixing, op9_substring_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op7_exact_top_k": f"""
