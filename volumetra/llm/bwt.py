@@ -16,7 +16,7 @@ from .common import cut, prepare
 
 LENGTH = 200  # bytes of a repeated string
 SYMBOL = 8  # bytes of one symbol of a transform
-GRAM = LENGTH // 2  # bytes of the grams whose least hash names a window
+GRAM = 48  # bytes of the grams whose least hash names a window
 SPAN = LENGTH - GRAM + 1  # grams in a window
 LOAD = 50_000  # bytes of snippets merged together, as far as whole groups allow
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -202,7 +202,7 @@ def _result(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, i
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-SEGMENTS = "key long, kind int, rid long, ends long, place long"
+SEGMENTS = "key long, rid long, ends long, place long"  # place: low << 11 | kind << 9 | inner << 8 | high - low
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
@@ -246,10 +246,11 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         route = np.where(again, rid * np.int64(0x2545F4914F6CDD1D) ^ place, key)
         for i in range(0, len(key), 200_000):
             s = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, state, rid, ends, place)], ["key", "kind", "rid", "ends", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, rid, ends, place >> 9 << 11 | state.astype(np.int64) << 9 | place & 511)], ["key", "rid", "ends", "place"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, state, rid, ends, place in _runs(batches, 0):
+        for key, rid, ends, place in _runs(batches, 0):
+            state, place = place >> 9 & 3, place >> 11 << 9 | place & 511
             done = np.flatnonzero(state == 2)
             at = np.flatnonzero(state < 2)
             at = at[np.argsort(key[at], kind="stable")]
@@ -283,12 +284,14 @@ def remove_repeats(df: DataFrame) -> DataFrame:
             send = ~both | (asked[group] & first)
             i = np.concatenate([done, at])
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(place[i]), pa.array(key[i]), pa.array(np.concatenate([np.ones(len(done), bool), both])), pa.array(np.concatenate([np.zeros(len(done), bool), send]))], ["rid", "place", "key", "sure", "send"])
+                sure, send = np.concatenate([np.ones(len(done), bool), both]), np.concatenate([np.zeros(len(done), bool), send])
+                where = place[i] >> 9 << 10 | sure.astype(np.int64) << 9 | send.astype(np.int64) << 8 | place[i] & 255
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(where), pa.array(np.where(send, key[i], 0))], ["rid", "place", "key"])
 
     sent = base.select("rid", "text").mapInArrow(local, SEGMENTS).repartition("key").sortWithinPartitions("key")
-    found = sent.mapInArrow(decide, "rid long, place long, key long, sure boolean, send boolean")
-    per = found.groupBy("rid").agg(F.collect_list(F.struct("place", "key", "sure", "send")).alias("found"))
-    joined = base.join(per, "rid", "left").select("doc_id", "rid", "text", F.col("found.place").alias("place"), F.col("found.key").alias("key"), F.col("found.sure").alias("sure"), F.col("found.send").alias("send"))
+    found = sent.mapInArrow(decide, "rid long, place long, key long")
+    per = found.groupBy("rid").agg(F.collect_list(F.struct("place", "key")).alias("found"))
+    joined = base.join(per, "rid", "left").select("doc_id", "rid", "text", F.col("found.place").alias("place"), F.col("found.key").alias("key"))
     state = f"doc_id {kind}, rid long, open boolean, {RESULT}, packed binary, low array<long>, high array<long>, snippets array<struct<key:long,start:long,bytes:binary>>"
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +300,12 @@ def remove_repeats(df: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
                 rows = []
-                for text, place, key, sure, send in zip(*(b.column(c).to_pylist() for c in range(2, 7)), strict=True):
-                    place, key, sure = np.array(place or [], np.int64), np.array(key or [], np.int64), np.array(sure or [], bool)
-                    first, last = place >> 9, (place >> 9) + (place & 255)
+                for text, place, key in zip(*(b.column(c).to_pylist() for c in range(2, 5)), strict=True):
+                    place = np.array(place or [], np.int64)
+                    sure, send = place & 512 > 0, place & 256 > 0
+                    first, last = place >> 10, (place >> 10) + (place & 255)
                     low, high = _union(first[sure], last[sure] + LENGTH)
-                    ask = np.flatnonzero(np.array(send or [], bool))
+                    ask = np.flatnonzero(send)
                     cutouts = [{"key": int(key[a]), "start": int(first[a]), "bytes": text[first[a] : last[a] + LENGTH]} for a in ask]
                     if cutouts:
                         rows.append((True, len(text), None, None, None, press.compress(text), low, high, cutouts))

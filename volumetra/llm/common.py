@@ -41,6 +41,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_cache: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """What a Python worker remembers between tasks; another operator's cache makes room for it."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links (a, b), by alternating stars.
 

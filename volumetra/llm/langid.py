@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, worker_cache
 
 HASHED = 1 << 16  # weights per label
 ORDERS = (1, 2, 3, 4)  # n-grams of ^word$; those with ^ or $ are its affixes
@@ -19,7 +19,7 @@ SAMPLE_PER_LABEL = 200  # documents to learn from, per label, in expectation (4
 SAMPLE_CHARS = 1600  # of each, from a hashed place
 LABELS = 64  # the most frequent labels that are learned
 ROUNDS = 25
-CACHED = 500_000  # words a worker remembers
+CACHED = 250_000  # words a worker remembers
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,15 +214,13 @@ class _Known(dict):
         return row
 
 
-_tables: dict[str, tuple] = {}  # of this worker: the model's name -> (words, emissions)
-
-
 def _emit_of(model: Crf, name: str):
     def look_up(texts: list[list[str]]):
-        if name not in _tables or len(_tables[name][0]) > CACHED:
-            _tables.clear()
-            _tables[name] = (_Known(), np.zeros((0, len(model.labels)), np.float32), np.zeros(0, bool))
-        known, table, letter = _tables[name]
+        fresh = lambda: [_Known(), np.zeros((0, len(model.labels)), np.float32), np.zeros(0, bool)]
+        held = worker_cache(f"emissions of {name}", fresh)
+        if len(held[0]) > CACHED:
+            held[:] = fresh()
+        known, table, letter = held
         ids = np.fromiter((known[w] for ws in texts for w in ws), np.int64, sum(map(len, texts)))
         if known.new:
             low = [w.lower() for w in known.new]
@@ -230,7 +228,7 @@ def _emit_of(model: Crf, name: str):
             table = np.concatenate([table, np.exp(np.clip(score - score.max(1, keepdims=True, initial=-1e30), -30, 0))])
             letter = np.concatenate([letter, [has_letter(w) for w in low]])
             known.new = []
-            _tables[name] = (known, table, letter)
+            held[:] = known, table, letter
         return ids, table, letter
 
     return look_up
@@ -286,7 +284,7 @@ def identify(df: DataFrame, model: Crf) -> DataFrame:
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size < 6_000_000):
+                while j < len(texts) and (j == i or size < 2_000_000):
                     size += len(texts[j] or "")
                     j += 1
                 lang, score, many, switches = zip(*judge(texts[i:j]), strict=True)

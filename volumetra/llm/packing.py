@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, prepare
+from .common import cut, prepare, worker_cache
 
 LENGTH = 4096
 END = 1
-CACHED = 700_000  # words a worker remembers
-_words: dict[str, tuple] = {}  # tokenizer file -> (tokenizer, {word: its ids as bytes})
+CACHED = 400_000  # words a worker remembers
 
 
 def default_tokenizer() -> str:
@@ -26,14 +25,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only spin
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _ids(texts: Sequence[str], path: str, by_word: bool) -> list[bytes]:
     """Little-endian ids of each text. With by_word each distinct word is encoded once."""
-    if path not in _words:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only spin
-        from tokenizers import Tokenizer
-
-        _words[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _words[path]
+    tokenizer, known = worker_cache(f"ids of {path}", lambda: (_load(path), {}))
     encode = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
     if not by_word:
         return encode(list(texts))
