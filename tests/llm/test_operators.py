@@ -252,7 +252,11 @@ def test_dense_runs_are_probed(monkeypatch):
     assert (simhash._links(np.zeros(len(fp), np.int64), fp) == 0).all()
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("ranged", [False, True])
+def test_top_k(spark, monkeypatch, ranged):
+    if ranged:  # several ranges and chunks, so that queries meet other ranges
+        monkeypatch.setattr(topk, "SUPER", 60)
+        monkeypatch.setattr(topk, "CHUNK", 8)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     rows += [(i + 300, rows[i][1]) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (None, [1.0] * 8), (7, [9.0] * 8)]

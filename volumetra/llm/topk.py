@@ -106,8 +106,8 @@ def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE) -> Dat
     rows = cut(rows.repartitionByRange(ranges, "_o", "vec_id").select("vec_id", "q", F.spark_partition_id().alias("_s")))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
 
-    def decode(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return t.column("vec_id").to_numpy(), _matrix(t.column("q").to_pylist(), width)
+    def decode(t: pa.Table, name: str = "vec_id", q: str = "q") -> tuple[np.ndarray, np.ndarray]:
+        return t.column(name).to_numpy(), _matrix(t.column(q).to_pylist(), width)
 
     out = "query_id long, vec_id long, score long"
 
@@ -125,19 +125,20 @@ def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE) -> Dat
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select("query_id", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
     chunks = max(1, -(-(total // every) // CHUNK))
     asked = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "q", "kth", "_s", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("_c"))
-    asked = asked.select("vec_id", "q", "kth", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(ranges - 1)), F.col("_s"))).alias("_s"), "_c")
+    # names of its own: both sides of the cogroup come from one table
+    asked = asked.select(F.col("vec_id").alias("qid"), F.col("q").alias("qq"), "kth", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(ranges - 1)), F.col("_s"))).alias("qs"), F.col("_c").alias("qc"))
     there = rows.select("vec_id", "q", "_s", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        (qid, q), (ids, m) = decode(left), decode(right)
+        (qid, q), (ids, m) = decode(left, "qid", "qq"), decode(right)
         floor = np.array([NONE if x is None else x for x in left.column("kth").to_pylist()], np.int64)
         scores, found, _ = search(q, qid, floor, m, ids, k)
         return answer(qid, scores, found)
 
     rest = first
     if ranges > 1:
-        rest = first.unionByName(asked.groupBy("_s", "_c").cogroup(there.groupBy("_s", "_c")).applyInArrow(meet, out))
+        rest = first.unionByName(asked.groupBy("qs", "qc").cogroup(there.groupBy("_s", "_c")).applyInArrow(meet, out))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
