@@ -16,7 +16,7 @@ from .common import cut, prepare, worker_cache
 
 LENGTH = 4096
 END = 1
-CACHED = 400_000  # words a worker remembers
+CACHED = 300_000  # words in each of the two generations that a worker remembers
 
 
 def default_tokenizer() -> str:
@@ -34,15 +34,19 @@ def _load(path: str):
 
 def _ids(texts: Sequence[str], path: str, by_word: bool) -> list[bytes]:
     """Little-endian ids of each text. With by_word each distinct word is encoded once."""
-    tokenizer, known = worker_cache(f"ids of {path}", lambda: (_load(path), {}))
+    held = worker_cache(f"ids of {path}", lambda: [_load(path), {}, {}])
+    tokenizer = held[0]
     encode = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
     if not by_word:
         return encode(list(texts))
-    if len(known) > CACHED:
-        known.clear()
+    if len(held[1]) > CACHED:  # the older generation goes; words still in use come back from it
+        held[1:] = {}, held[1]
+    known, older = held[1:]
     # str.split() and the tokenizer's \s differ in \x1c-\x1f; those texts go whole
     split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
     new = list(set().union(*(ws for ws in split if ws)) - known.keys())
+    known.update((w, older[w]) for w in new if w in older)
+    new = [w for w in new if w not in older]
     for i in range(0, len(new), 20_000):
         known.update(zip(new[i : i + 20_000], encode(new[i : i + 20_000]), strict=True))
     get = known.__getitem__
