@@ -16,13 +16,17 @@ from .common import cut, prepare
 
 LENGTH = 200  # bytes of a repeated string
 SYMBOL = 8  # bytes of one symbol of a transform
-GRAM = 48  # bytes of the grams whose least hash names a window
+GRAM = 16  # bytes of the grams whose least hash places a window
+STEP = 56  # windows that share a name at most
 SPAN = LENGTH - GRAM + 1  # grams in a window
 LOAD = 50_000  # bytes of snippets merged together, as far as whole groups allow
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 14  # windows hashed at a time
+PLACE = np.uint64((1 << 15) - 1)  # low bits of a gram's hash that give way to its place
+INDEX = np.arange(PIECE + LENGTH, dtype=np.uint64)
+STEPS = np.arange(0, SPAN, STEP)
 
 
 def _powers(x: np.uint64, n: int) -> np.ndarray:
@@ -50,11 +54,12 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name every window of LENGTH bytes by the least hash of its grams: (name, low, high, ends).
+    """Name every window of LENGTH bytes by the bytes around its least gram: (name, low, high, ends).
 
-    Windows low to high share one name; high - low < SPAN. The sign of low + 1 says whether windows of one
-    run may equal each other, as in periodic text (negative if so). ends packs 32-bit hashes of the first and last window.
-    Equal windows have equal names wherever they are.
+    A window's place is that of its leftmost gram of least hash. How far the gram lies from the window's start, in
+    steps of STEP, says which bytes around it every such window has; their hash is the name. Windows low to high
+    share one gram and one name, high - low < STEP, and none of them equal each other. ends packs 32-bit hashes of
+    the first and last window. Equal windows have equal names wherever they are.
     """
     names, lows, highs, ends = [], [], [], []
     n = len(text) - LENGTH + 1
@@ -64,24 +69,23 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         sums = np.zeros(many + LENGTH, np.uint64)
         np.cumsum(BYTES[codes[a : a + many + LENGTH - 1]] * UP[: many + LENGTH - 1], out=sums[1:])
         grams = _mix((sums[GRAM:] - sums[:-GRAM]) * DOWN[: many + LENGTH - GRAM])
-        least = _least(grams, SPAN)
-        change = np.flatnonzero(least[1:] != least[:-1]) + 1
-        low = np.concatenate([[0], change])
-        size = np.diff(np.concatenate([low, [many]]))
-        if size.max() >= SPAN:  # a name that lasts, as in periodic text
-            low = np.concatenate([np.arange(s, s + k, SPAN - 1) for s, k in zip(low, size, strict=True)])
+        grams &= ~PLACE
+        grams |= INDEX[: len(grams)]
+        at = (_least(grams, SPAN) & PLACE).astype(np.int64)  # the leftmost least gram of each window
+        low = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         high = np.concatenate([low[1:], [many]]) - 1
-        whole = lambda p: _mix((sums[p + LENGTH] - sums[p]) * DOWN[p]) >> np.uint64(32)
-        edge = np.zeros(SPAN - 1, np.uint64)
-        top = ~_least(~np.concatenate([edge, least, edge]), SPAN)
-        at = np.flatnonzero(grams == top)  # grams that name a window
-        order = np.lexsort((at, grams[at]))
-        at, value = at[order], grams[at][order]
-        near = (value[1:] == value[:-1]) & (at[1:] - at[:-1] < 2 * SPAN)
-        inner = np.isin(least[low], value[1:][near]) if near.any() else np.zeros(len(low), bool)
-        names.append(least[low])
-        ends.append((whole(low) << np.uint64(32)) | whole(high))
-        lows.append(np.where(inner, -(low + a) - 1, low + a))
+        g = at[low]
+        split = (g[:, None] - STEPS + 1)[:, 1:]  # where the distance to the gram falls below each step
+        more = split[(split > low[:, None]) & (split <= high[:, None])]
+        low = np.sort(np.concatenate([low, more]))
+        high = np.concatenate([low[1:], [many]]) - 1
+        g = at[low]
+        k = (g - low) // STEP
+        start, stop = g - STEPS[k], g - np.minimum(STEPS[k] + STEP, SPAN) + 1 + LENGTH
+        whole = lambda p, q: _mix((sums[q] - sums[p]) * DOWN[p])
+        names.append(_mix(whole(start, stop) + k.astype(np.uint64) * BASE))
+        ends.append((whole(low, low + LENGTH) >> np.uint64(32) << np.uint64(32)) | whole(high, high + LENGTH) >> np.uint64(32))
+        lows.append(low + a)
         highs.append(high + a)
     if not names:
         none = np.empty(0, np.int64)
@@ -202,7 +206,7 @@ def _result(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, i
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-SEGMENTS = "key long, rid long, ends long, place long"  # place: low << 11 | kind << 9 | inner << 8 | high - low
+SEGMENTS = "key long, rid long, ends long, place long"  # place: low << 11 | kind << 9 | high - low
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
@@ -212,8 +216,8 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     do not cross rows, overlaps count, and all is judged on the input. Rows that are equal are two places, so each covers the
     other. doc_id may be null or repeated; extra columns are ignored.
 
-    1. Every window of LENGTH bytes gets a name, the least hash of its grams: equal windows have equal names, and runs of
-       some fifty windows share one. One row per run is shuffled by name, after each task has collapsed its own equal runs, so a
+    1. Every window of LENGTH bytes gets a name, a hash of some 150 bytes around its least gram: equal windows have equal names,
+       and runs of some thirty windows share one. One row per run is shuffled by name, after each task has collapsed its own equal runs, so a
        passage in a third of all rows costs a row per task. Runs whose name is alone are done. Runs whose first and last window
        both recur are covered whole.
     2. Only at the edges of repeats that does not decide; there the bytes of the run travel to the others of its name. Groups of
@@ -230,8 +234,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         for b in batches:
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name, low, high, ends = segments(t)
-                inner, low = low < 0, np.where(low < 0, -low - 1, low)
-                for p, x in zip(parts, (name, np.full(len(name), rid, np.int64), ends, low << 9 | inner << 8 | (high - low)), strict=True):
+                for p, x in zip(parts, (name, np.full(len(name), rid, np.int64), ends, low << 9 | (high - low)), strict=True):
                     p.append(x)
         if not parts[0]:
             return
@@ -258,7 +261,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
             shared = np.zeros(len(k), bool)
             shared[1:] = k[1:] == k[:-1]
             shared[:-1] |= shared[1:]
-            shared |= (state[at] == 1) | (place[at] & 256 > 0)
+            shared |= state[at] == 1
             at = at[shared]
             twice = state[at] == 1
             both = np.ones(len(at), bool)
