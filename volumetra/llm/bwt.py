@@ -104,16 +104,20 @@ class Shard:
         ends = np.flatnonzero(symbols == 0)
         rank = symbols.astype(np.int64) + len(ends)
         rank[ends] = np.arange(len(ends))
+        narrow = len(rank) + 1 < 1 << 16  # then ranks are short integers, which numpy sorts by radix
+        rank = rank.astype(np.uint16 if narrow else np.int64)
         far = 1
         self.order = np.argsort(rank, kind="stable")
         while far < depth:
-            ahead = np.zeros(len(rank), np.int64)
+            ahead = np.zeros_like(rank)
             ahead[:-far] = rank[far:]
-            key = rank * (int(rank.max()) + 1) + ahead
-            self.order = np.argsort(key, kind="stable")
-            key = key[self.order]
+            order = np.argsort(ahead, kind="stable")
+            self.order = order = order[np.argsort(rank[order], kind="stable")]
+            r, h = rank[order], ahead[order]
+            new = np.zeros(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
             rank = np.empty_like(rank)
-            rank[self.order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+            rank[order] = np.cumsum(new, dtype=rank.dtype)
             far *= 2
         before = np.zeros_like(symbols)
         before[1:] = symbols[:-1]
@@ -147,20 +151,21 @@ def repeated_starts(snippets: list[bytes], length: int = LENGTH, symbol: int = S
     A snippet is read as `symbol` strings, one per phase, of symbols of that many bytes, so length / symbol rounds decide on
     whole strings. The collection is cut into two shards, whose transforms are merged.
     """
-    depth, words, owner, place = length // symbol, [], [], []
-    for i, s in enumerate(snippets):
-        n = len(s) - symbol + 1
-        if n > 0:
-            at = np.ndarray((n,), "<u8" if symbol == 8 else np.uint8, s, strides=(1,))
-            for phase in range(min(symbol, n)):
-                words += [at[phase::symbol], np.zeros(1, at.dtype)]
-                k = len(words[-2])
-                owner += [np.full(k, i, np.int64), [-1]]
-                place += [np.arange(phase, phase + k * symbol, symbol), [-1]]
-    out = [np.empty(0, np.int64)] * len(snippets)
-    if not words:
-        return out
-    raw, owner, place = np.concatenate(words), np.concatenate(owner), np.concatenate(place)
+    depth = length // symbol
+    sizes = np.array([len(x) for x in snippets], np.int64)
+    many = np.maximum(sizes - symbol + 1, 0)  # symbols that start in each snippet
+    if not many.sum():
+        return [np.empty(0, np.int64)] * len(snippets)
+    text = b"".join(snippets) + bytes(symbol)
+    who = np.repeat(np.arange(len(snippets)), many)
+    at = np.arange(len(who)) - (np.cumsum(many) - many)[who]
+    value = np.ndarray((len(text) - symbol + 1,), "<u8" if symbol == 8 else np.uint8, text, strides=(1,))[(np.cumsum(sizes) - sizes)[who] + at]
+    # strings lie phase after phase, each with an end
+    phase, base, n = at % symbol, np.cumsum(many + symbol) - many - symbol, many[who]
+    slot = base[who] + phase * (n // symbol) + np.minimum(phase, n % symbol) + phase + at // symbol
+    owner = np.full(int((many + symbol).sum()), -1, np.int64)
+    place, raw = owner.copy(), np.zeros(len(owner), value.dtype)
+    owner[slot], place[slot], raw[slot] = who, at, value
     real = owner >= 0
     values, codes = np.unique(raw[real], return_inverse=True)
     symbols = np.zeros(len(raw), np.uint16 if len(values) < 65_000 else np.int64)
