@@ -373,3 +373,12 @@ def test_pipeline(spark, tmp_path):
     for r in rows:
         full[r.sequence_id] += r.length
     assert max(full.values()) <= packing.LENGTH
+
+
+def test_ids_by_word_are_those_of_the_whole_text():
+    rng = random.Random(1)
+    signs = "abZÉéßµªºÿŒİıſ'.,!?-_<|>12 \n\t\x00\x1c\xa0́​е中🙂\xadÀﬁ"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["it's don't a<|endoftext|>b <|startoftext|>, x<|endoftext|>.", "a.'s b.' 'S We'RE! ẞ", "Foo foo, FOO... foo"]
+    path = packing.default_tokenizer()
+    assert packing._ids(texts, path, True) == packing._ids(texts, path, False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -17,6 +18,8 @@ from .common import cut, prepare, worker_cache
 LENGTH = 4096
 END = 1
 CACHED = 300_000  # words in each of the two generations that a worker remembers
+APART = json.dumps(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")[1:-1]  # the cut that keeps letters and marks in different pieces
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII, without the apostrophe, which may take letters along
 
 
 def default_tokenizer() -> str:
@@ -26,31 +29,79 @@ def default_tokenizer() -> str:
 
 
 def _load(path: str):
+    """The tokenizer and, if it cuts letters, digits and marks apart and ends each piece in a token of its own, which ids are such ends."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only spin
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    tokenizer, said = Tokenizer.from_str(text), json.loads(text)
+    suffix = said["model"].get("end_of_word_suffix")
+    if not suffix or APART not in json.dumps(said.get("pre_tokenizer")):
+        return tokenizer, None
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return tokenizer, ends
+
+
+def _encode(tokenizer, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_letters(tokenizer, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters alone, each of them one piece: encoded as one text and cut behind the ends."""
+    if not words:
+        return []
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+    b, cuts = ids.tobytes(), ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+    if len(cuts) != len(words):
+        return _encode(tokenizer, words)
+    return [b[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def _encode_words(tokenizer, ends: np.ndarray | None, words: list[str], found) -> Iterator[tuple[str, bytes]]:
+    """Ids of each new word. Latin-1 letters, with or without marks behind them, take those of the lower-cased letters and of the marks."""
+    if ends is None:
+        yield from zip(words, _encode(tokenizer, words), strict=True)
+        return
+    plain, rest, parts = [], [], {}
+    for w in words:
+        core = w.rstrip(MARKS)
+        if core.isalpha() and max(core) <= "\xff":
+            plain.append((w, core.lower(), w[len(core) :]))
+        else:
+            rest.append(w)
+    for part in {x for _, core, tail in plain for x in (core, tail)}:
+        parts[part] = found(part) if part else b""
+    new = [x for x, ids in parts.items() if ids is None]
+    letters, marks = [x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]
+    parts.update(zip(letters, _encode_letters(tokenizer, ends, letters), strict=True))
+    parts.update(zip(marks, _encode(tokenizer, marks), strict=True))
+    for w, core, tail in plain:
+        yield w, parts[core] + parts[tail]
+    yield from zip(rest, _encode(tokenizer, rest), strict=True)
 
 
 def _ids(texts: Sequence[str], path: str, by_word: bool) -> list[bytes]:
     """Little-endian ids of each text. With by_word each distinct word is encoded once."""
     held = worker_cache(f"ids of {path}", lambda: [_load(path), {}, {}])
-    tokenizer = held[0]
-    encode = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+    tokenizer, ends = held[0]
     if not by_word:
-        return encode(list(texts))
+        return _encode(tokenizer, list(texts))
     if len(held[1]) > CACHED:  # the older generation goes; words still in use come back from it
         held[1:] = {}, held[1]
     known, older = held[1:]
     # str.split() and the tokenizer's \s differ in \x1c-\x1f; those texts go whole
     split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    new = list(set().union(*(ws for ws in split if ws)) - known.keys())
+    new = [w for w in set().union(*(ws for ws in split if ws)) if w not in known]
     known.update((w, older[w]) for w in new if w in older)
     new = [w for w in new if w not in older]
+    found = lambda x: known.get(x) or older.get(x)
     for i in range(0, len(new), 20_000):
-        known.update(zip(new[i : i + 20_000], encode(new[i : i + 20_000]), strict=True))
+        known.update(_encode_words(tokenizer, ends, new[i : i + 20_000], found))
     get = known.__getitem__
-    return [encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
+    return [_encode(tokenizer, [t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
 
 
 def pieces(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, by_word: bool = True, with_ids: bool = True) -> DataFrame:
