@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from volumetra.llm import bwt, chaining, langid, linededup, media, mixing, packing, sharding, simhash, topk
+from volumetra.llm import bwt, chaining, langid, linededup, media, mixing, nearcopies, packing, sharding, simhash, topk
 from volumetra.llm.common import components, prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key string"
@@ -382,3 +382,45 @@ def test_ids_by_word_are_those_of_the_whole_text():
     texts += ["it's don't a<|endoftext|>b <|startoftext|>, x<|endoftext|>.", "a.'s b.' 'S We'RE! ẞ", "Foo foo, FOO... foo"]
     path = packing.default_tokenizer()
     assert packing._ids(texts, path, True) == packing._ids(texts, path, False)
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_copies_are_those_of_jaccard(spark, monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 200))]
+        texts.append(base)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(2, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", None, "a b", "A b", "a"]
+    sets = []
+    for t in texts:
+        p = (t or "").lower().split()
+        sets.append({tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} if p else set())
+    comp, changed = list(range(len(texts))), True
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            if comp[i] != comp[j]:
+                comp[i] = comp[j] = min(comp[i], comp[j])
+                changed = True
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row: r.component for r in nearcopies.groups(df).collect()} == dict(enumerate(comp))
+    assert nearcopies.groups(df.where("false")).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(230)]
+    copy = [w if i not in (30, 120, 190) else "other" for i, w in enumerate(base)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(base[:100]))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == {1, 3}
