@@ -424,3 +424,13 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     copy = [w if i not in (30, 120, 190) else "other" for i, w in enumerate(base)]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(base[:100]))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == {1, 3}
+
+
+def test_mixing_goes_on_past_what_does_not_fit(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(50, 60), "a") for i in range(300)] + [(1000, "w " * 20000, "a")] + [(2000 + i, "w " * 20, "b") for i in range(3)]
+    for seed in range(3):
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget=0.3, most=1, seed=seed).where("source = 'a'").collect()
+        gap = out[0]._target - sum(r._size * r._copies for r in out)
+        left = [r._size for r in out if not r._copies]
+        assert -1 <= gap and left and gap < min(left) + 1

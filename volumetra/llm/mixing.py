@@ -117,9 +117,9 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     Documents are aggregated by membership pattern (map-side, so a source that holds a third
     of all rows costs no more); the driver sees one row per pattern. Flow fixes how many words
     each pattern gives to each source and at which repetition. Within a pattern documents come
-    in the order of a seeded hash until the words are reached; the rest of the amount is filled with
-    at most one document per power of two of size, so the error stays under the smallest of
-    those left over. Reruns agree, whatever the partitioning.
+    in the order of a seeded hash, each taken if it still fits: a pass ends at the first that does not, and the next goes on
+    behind it over those no larger than the gap. So the error stays under the smallest of those left over (rows with
+    one doc_id count as one). Reruns agree, whatever the partitioning.
 
     Null or empty text has size 0 and is taken once wherever its whole pattern is. A null source, or an empty
     array, counts as one source named null, last in order. Equal rows get equal answers. An empty table gives an empty result.
@@ -158,25 +158,31 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     key = lambda c: F.to_json(F.struct(c))  # noqa: E731  arrays with nulls as join keys
     table = table.withColumn("_key", key(F.col("_names"))).drop("_names")
     slim = slim.select(key(F.col("_names")).alias("_key"), "_size", "_u").withColumn("_b", F.shiftrightunsigned("_u", 62 - bits).cast("int"))
-    cells = slim.groupBy("_key", "_b").agg(F.sum("_size").alias("s"))
-    upto = cells.withColumn("_before", F.coalesce(F.sum("s").over(Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = upto.join(F.broadcast(table.select("_key", "_rest")), "_key").where("_before <= _rest").groupBy("_key").agg(F.max_by(F.struct("_b", "_before"), "_b").alias("e")).select("_key", F.col("e._b").alias("_eb"), F.col("e._before").alias("_before"))
-    edge = F.broadcast(edge.join(table.select("_key", "_rest"), "_key"))
-    inner = slim.join(edge, "_key").where("_b = _eb")
-    run = inner.withColumn("_cum", F.col("_before") + F.sum("_size").over(Window.partitionBy("_key").orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)))
-    last = run.where("_cum <= _rest").groupBy("_key").agg(F.max("_u").alias("_lu"), F.max("_cum").alias("_got"))
-    known = {r["_key"]: r for r in edge.join(last, "_key", "left").select("_key", F.coalesce("_lu", F.shiftleft(F.col("_eb").cast("long"), 62 - bits) - 1).alias("_lu"), F.coalesce("_got", "_before").alias("_got"), "_rest").collect()}
-    bound = F.broadcast(spark.createDataFrame([(k, r["_lu"], r["_rest"] - r["_got"]) for k, r in known.items()], "_key string, _lu long, _gap long"))
-    spare = slim.join(bound, "_key").where("_u > _lu and _size > 0 and _size <= _gap").groupBy("_key", F.floor(F.log2("_size")).alias("c")).agg(F.min_by(F.struct("_u", "_size"), "_u").alias("m")).collect()
-    fill: dict[str, list[int]] = {}
-    gap = {k: r["_rest"] - r["_got"] for k, r in known.items()}
-    for r in sorted(spare, key=lambda r: (r["_key"], -r["c"])):
-        if r["m"]["_size"] <= gap[r["_key"]]:
-            gap[r["_key"]] -= r["m"]["_size"]
-            fill.setdefault(r["_key"], []).append(r["m"]["_u"])
-    ends = spark.createDataFrame([(k, r["_lu"], fill.get(k, [])) for k, r in known.items()], "_key string, _lu long, _fill array<long>")
+    slim, taken, gaps = cut(slim), {}, {}  # taken, per pattern: (after, up to, largest size), by hash
+    state = [(k, -1, r) for k, r in ((r["_key"], r["_rest"]) for r in table.select("_key", "_rest").collect())]
+    while state:
+        bound = F.broadcast(spark.createDataFrame(state, "_key string, _after long, _gap long"))
+        # in the first pass a document over the whole rest stops the order too, as it always did
+        open_ = slim.join(bound, "_key").where((F.col("_u") > F.col("_after")) & ((F.col("_after") < 0) | ((F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))))
+        cells = open_.groupBy("_key", "_b").agg(F.sum("_size").alias("s"))
+        upto = cells.withColumn("_before", F.coalesce(F.sum("s").over(Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        edge = F.broadcast(upto.join(bound.select("_key", "_gap"), "_key").where("_before <= _gap").groupBy("_key").agg(F.max_by(F.struct("_b", "_before"), "_b").alias("e")).select("_key", F.col("e._b").alias("_eb"), F.col("e._before").alias("_before")))
+        inner = open_.join(edge, "_key").where("_b = _eb")
+        run = inner.withColumn("_cum", F.col("_before") + F.sum("_size").over(Window.partitionBy("_key").orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)))
+        fits = F.col("_cum") <= F.col("_gap")
+        ends = run.groupBy("_key").agg(F.max(F.when(fits, F.col("_u"))).alias("lu"), F.max(F.when(fits, F.col("_cum"))).alias("got"), F.min(F.when(~fits, F.col("_u"))).alias("stop"), F.first("_before").alias("before"), F.first("_eb").alias("eb")).collect()
+        was, state = {k: x for k, *x in state}, []
+        for r in ends:
+            after, gap = was[r["_key"]]
+            end = r["lu"] if r["lu"] is not None else (r["eb"] << (62 - bits)) - 1
+            left = gap - (r["before"] if r["got"] is None else r["got"])
+            taken.setdefault(r["_key"], []).append((after, end, gap if after >= 0 else None))
+            if r["stop"] is not None and left > 0:
+                state.append((r["_key"], r["stop"], left))
+    ends = spark.createDataFrame(list(taken.items()), "_key string, _spans array<struct<a:long,b:long,most:long>>")
     table = F.broadcast(table.join(ends, "_key", "left"))
-    extra = ((F.col("_u") <= F.col("_lu")) | F.array_contains("_fill", F.col("_u"))) & (F.col("_rest") > 0)
+    within = lambda x: (F.col("_u") > x["a"]) & (F.col("_u") <= x["b"]) & (x["most"].isNull() | ((F.col("_size") > 0) & (F.col("_size") <= x["most"])))
+    extra = F.exists("_spans", within) & (F.col("_rest") > 0)
     out = base.withColumn("_key", key(F.col("_names"))).join(table, "_key", "left")
     out = out.withColumn("_copies", F.col("_whole") + F.when(extra, 1).otherwise(0))
     # which source a copy counts for: sources of the pattern in proportion to their flow, by the same hash
@@ -184,4 +190,4 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     spot = lambda i: F.floor(total * (F.pmod(F.xxhash64(F.lit(seed), F.lit("for"), i, F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))))
     chosen = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_copies"), F.lit(1))), lambda i: F.aggregate("_shares", F.struct(spot(i).alias("left"), F.lit(None).cast("string").alias("s")), lambda a, x: F.when(a["left"] < 0, a).when(a["left"] < x["words"], F.struct(F.lit(-1).cast("long").alias("left"), x["source"].alias("s"))).otherwise(F.struct((a["left"] - x["words"]).alias("left"), a["s"].alias("s"))))["s"])
     out = out.withColumn("_for", F.when(F.col("_copies") > 0, chosen).otherwise(F.array().cast("array<string>")))
-    return out.drop("_names", "_u", "_key", "_whole", "_rest", "_shares", "_lu", "_fill")
+    return out.drop("_names", "_u", "_key", "_whole", "_rest", "_shares", "_spans")
