@@ -434,3 +434,11 @@ def test_mixing_goes_on_past_what_does_not_fit(spark):
         gap = out[0]._target - sum(r._size * r._copies for r in out)
         left = [r._size for r in out if not r._copies]
         assert -1 <= gap and left and gap < min(left) + 1
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rows = [(None, "alone without an id of its own"), (None, "the same few words again here"), (4, "the same few words again here"), (5, "twice the row and its id"), (5, "twice the row and its id"), (5, "one id but another text")]
+    out = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([rows[0], rows[2], rows[3], rows[5]])
