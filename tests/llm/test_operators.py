@@ -350,12 +350,6 @@ def test_passages(spark, docs, empty):
     assert chaining.passages(empty).count() == 0 and chaining.passages(docs).count() >= 0
 
 
-def test_chains_rise():
-    pos = np.array([0, 5, 10, 12, 20, 300])
-    out = chaining.chains(pos, np.array([100, 105, 110, 40, 121, 7]))
-    assert (0, 25, 100, 126, 4) in out
-
-
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def prepare(spark: SparkSession) -> SparkSession:
     """Make checkpoints possible and let Python workers import this package.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is
-    unset (local tests) one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset and Spark runs in this
+    process alone (local tests) one is made; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="volumetra-"))
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -52,6 +55,22 @@ def worker_cache(name: str, make):
     return _cache[name]
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, most: int = 1_000) -> DataFrame:
+    """Inner join of rows with a table that is distinct in key, where one key may hold a third of all rows.
+
+    count names the column of table that says how many rows have its key; it goes. Keys with more than a `most`-th of all rows are
+    `most` at most, so that part of the table is broadcast; the others are dealt out by key.
+    """
+    least = max(10_000, (table.agg(F.sum(count)).first()[0] or 0) // most)
+    loud = table.where(F.col(count) > least).drop(count)
+    quiet = table.where(F.col(count) <= least).drop(count)
+    if loud.isEmpty():
+        return rows.join(quiet, key)
+    some = loud.select(key)
+    is_loud = rows.join(F.broadcast(some), key, "left_semi").join(F.broadcast(loud), key)
+    return is_loud.unionByName(rows.join(F.broadcast(some), key, "left_anti").join(quiet, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links (a, b), by alternating stars.
 
