@@ -312,30 +312,6 @@ def test_flow_is_cheapest():
     assert mixing.targets([10, 1000, 1000]) == pytest.approx([20, 1996.6666666, 998.3333333])
 
 
-def brute_lines(rows):
-    order = sorted({(r[0], r[1]) for r in rows if r[1] is not None})
-    seen, single, gone = set(), set(), set()
-    for d, t in order:
-        parts = t.split("\n")
-        for i in range(len(parts)):
-            run = tuple(parts[i : i + 3])
-            if len(run) == 3:
-                gone.update((d, i + k) for k in range(3)) if run in seen else seen.add(run)
-            if parts[i] in single and len(parts[i].split()) >= 50:
-                gone.add((d, i))
-            single.add(parts[i])
-    return gone
-
-
-def test_lines(spark, docs, empty):
-    rows = corpus() + [(800, "q\n" * 9, None, None, 0, 0, 0, "")]
-    gone = brute_lines(rows)
-    for r in linededup.dedup(spark.createDataFrame(rows, SCHEMA)).collect():
-        want = None if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
-        assert r.kept_text == want and r.n_removed == sum(d == r.doc_id for d, _ in gone)
-    assert linededup.dedup(empty).count() == 0
-
-
 def test_passages(spark, docs, empty):
     rng = random.Random(8)
     line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]

@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, f"_{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -71,6 +79,17 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, most: int
     return is_loud.unionByName(rows.join(F.broadcast(some), key, "left_anti").join(quiet, key))
 
 
+SMALL = 1_000_000  # rows of one long column that may be broadcast
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is (left_semi) or is not (left_anti) among keys, a table of one long column.
+
+    Up to SMALL keys, as counted here, are broadcast, so that wide rows need not be dealt out; more are joined by a shuffle.
+    """
+    return rows.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, key, how)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links (a, b), by alternating stars.
 

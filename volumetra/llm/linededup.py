@@ -2,87 +2,286 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, hot_join, prepare
 
 MIN_LINES = 3  # a run of so many lines is a passage
-MIN_WORDS = 50  # so is one line of so many words
+MIN_WORDS = 50  # so is one of fewer lines with so many words
+END = -1  # rank of what follows the last line: the smallest, and equal in all texts
 
 
-def lines(df: DataFrame, row: str = "_row") -> DataFrame:
-    """Line table: row id, line number, 64-bit line id and words of each line of each text; null texts have none."""
-    parts = F.split(F.col("text"), "\n", -1)
-    spread = df.where(F.col("text").isNotNull()).select(row, F.posexplode(parts).alias("_line", "_text"))
-    words = F.size(F.array_remove(F.split(F.translate("_text", "\t\x0b\x0c\r", "    "), " "), ""))
-    return spread.select(row, "_line", F.xxhash64("_text", F.length("_text")).alias("_id"), words.alias("_words"))
+def word_lengths(lines):
+    """Words (runs of other characters than space and \\x09-\\x0D) of a column."""
+    return F.size(F.array_remove(F.split(F.translate(lines, "\t\x0b\x0c\r", "    "), " "), ""))
+
+
+def lines(df: DataFrame, row: str, text: str = "text") -> DataFrame:
+    """Line table (row, line, left, a, b, words): left counts lines to the end, this one too; two 64-bit hashes are the line's id. Null texts have no lines."""
+    parts = df.where(F.col(text).isNotNull()).select(F.col(row).alias("row"), F.split(F.col(text), "\n", -1).alias("parts"))
+    spread = parts.select("row", F.size("parts").alias("n"), F.posexplode("parts").alias("line", "t"))
+    return spread.select("row", "line", (F.col("n") - F.col("line")).alias("left"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit("line"), F.col("t"), F.length("t")).alias("b"), word_lengths("t").alias("words"))
+
+
+def _sorted(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt out by ranges of (keys, row, line), so that one key's rows may fill several tasks, and sorted in each."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(table.repartitionByRange(n, *keys, "row", "line").sortWithinPartitions(*keys, "row", "line"))
+
+
+def _bounds(table: DataFrame, keys: list[str]) -> dict[int, tuple]:
+    """Per partition of a sorted table: (rows before it, last keys before it, where each prefix of those began, first keys after it)."""
+    many = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, last, since = 0, None, None, [0] * many
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            first = first or [int(c[0]) for c in cols]
+            new = np.zeros(b.num_rows, bool)
+            for i, c in enumerate(cols):
+                new[1:] |= c[1:] != c[:-1]
+                new[0] |= last is None or last[i] != int(c[0])
+                at = np.flatnonzero(new)
+                since[i] = n + int(at[-1]) if len(at) else since[i]
+            last, n = [int(c[-1]) for c in cols], n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), n, first, last, since)], ["part", "n", "first", "last", "since"])
+
+    rows = sorted(table.mapInArrow(run, "part long, n long, first array<long>, last array<long>, since array<long>").collect(), key=lambda r: r["part"])
+    out, offset, last, starts = {}, 0, None, None
+    for r, following in zip(rows, [*rows[1:], None], strict=True):
+        out[r["part"]] = (offset, last, starts, list(following["first"]) if following else None)
+        now = [offset + x for x in r["since"]]
+        for i in range(many):
+            if last and r["since"][i] == 0 and last[: i + 1] == list(r["first"])[: i + 1]:
+                now[i] = starts[i]
+        last, starts, offset = list(r["last"]), now, offset + r["n"]
+    return out
 
 
-def _ranked(keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Order-preserving numbers for distinct keys: a sort by ranges, numbered in order."""
-    return cut(keys.orderBy(*by).withColumn(name, F.monotonically_increasing_id()))
+def _number(table: DataFrame, keys: list[str], h: int) -> DataFrame:
+    """Refine ranks to those by h lines. table: row, line, left, keys; returns row, line, left, rank, open.
+
+    A rank is the number of suffixes that are smaller. With keys (rank, next), suffixes of one rank are told apart by next: the new rank
+    adds how many of the same rank have a smaller one. Other keys are ranked from 0. open: another suffix agrees in all
+    keys, and h lines are there.
+    """
+    table = _sorted(table, keys)
+    begin = _bounds(table, keys)
+    refine = keys[0] == "rank"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offset, last, since, following = begin.get(TaskContext.get().partitionId(), (0, None, None, None))
+        held = None
+
+        def out(rest: list, joins: bool):
+            row, line, left, rank, new = rest
+            single = new & np.append(new[1:], not joins)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, line, left, rank, ~single & (left >= h))], ["row", "line", "left", "rank", "open"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new, starts = np.zeros(b.num_rows, bool), []
+            for i, c in enumerate(cols):
+                new = new.copy()
+                new[1:] |= c[1:] != c[:-1]
+                new[0] |= last is None or last[i] != int(c[0])
+                at = np.where(new, offset + np.arange(len(new)), -1)
+                if not new[0]:
+                    at[0] = since[i]
+                starts.append(np.maximum.accumulate(at))
+            rank = cols[0] + starts[-1] - starts[0] if refine else starts[-1]
+            if held:
+                yield out(held, not new[0])
+            held = [b.column(c).to_numpy() for c in ("row", "line", "left")] + [rank, new]
+            offset, last, since = offset + b.num_rows, [int(c[-1]) for c in cols], [int(x[-1]) for x in starts]
+        if held:
+            yield out(held, following == last)
+
+    return cut(table.mapInArrow(run, "row long, line int, left int, rank long, open boolean"))
+
+
+def suffix_array(table: DataFrame) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Ranks of all suffixes in texts that share a line, and the levels of shared prefixes, by prefix doubling.
+
+    table: the result of lines(), with distinct (row, line). Returns (ranks, levels): ranks (row, line, rank) order the suffixes, equal ones
+    share a rank; levels[h] has the suffixes that share their first h lines with another, with their rank by those h lines, h = 1, 2, 4, ...
+    until none does. The rank by 2h lines comes from the pair (rank here, rank h lines on). A suffix that
+    shares no more keeps its rank and is sorted no more, so the last levels are small.
+    """
+    ranks = _number(table.select("row", "line", "left", "a", "b"), ["a", "b"], 1)
+    ranks = cut(ranks.join(ranks.where("open").select("row").distinct(), "row", "left_semi"))
+    levels, h, names = {}, 1, ["row", "line", "left", "rank"]
+    here, done = ranks.where("open").select(names), ranks.where("not open").select(names)
+    while not here.isEmpty():
+        levels[h] = here
+        ahead = here.unionByName(done).select("row", (F.col("line") - h).alias("line"), F.col("rank").alias("next"))
+        pairs = here.join(ahead, ["row", "line"], "left").select(*names, F.coalesce("next", F.lit(END).cast("long")).alias("next"))
+        ranks = _number(pairs, ["rank", "next"], 2 * h)
+        here, done = ranks.where("open").select(names), done.unionByName(ranks.where("not open").select(names))
+        h *= 2
+    return done.select("row", "line", "rank"), levels
 
 
-def repeats(table: DataFrame, row: str = "_row", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to delete: row, line. table: the result of lines(), with at most one row per (row, line).
+def neighbours(ranks: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """The suffix array with longest common prefixes: row, line, at (place in the array), lcp with the suffix before, in lines.
 
-    The suffixes of all line sequences are ranked by their first 1, 2, 4, ... lines: the rank at
-    2h comes from the pair (rank at h here, rank at h, h lines on), sorted by ranges. Suffixes alone in their rank are settled and
-    leave the table, so later rounds carry repeated runs only. At min_lines (two overlapping ranks
-    give any length) the suffixes of one rank are an interval of the suffix array whose longest common prefix is at least
-    min_lines: the maximal repeated runs are unions of these. In each interval the first occurrence, by (row,
-    line), stays and the others are covered. Lines of min_words or more are runs by themselves.
+    ranks, levels: what suffix_array() gives. Only suffixes that share their first line are listed. Neighbours are compared by
+    their ranks at falling powers of two: equal ranks by h lines, l lines on, make h more lines common.
     """
-    first = table.groupBy("_id").agg(F.count("*").alias("n"), F.min(F.struct(row, "_line")).alias("first"), F.max("_words").alias("w")).where("n > 1")
-    ranks = _ranked(first, ["_id"], "_rank")
-    here = cut(table.join(ranks.select("_id", "_rank", "first", "w"), "_id").select(row, "_line", "_rank", "first", "w"))
-    single = here.where((F.col("w") >= min_words) & (F.struct(row, "_line") > F.col("first"))).select(row, "_line")
-    if min_lines <= 1:
-        return here.where(F.struct(row, "_line") > F.col("first")).select(row, "_line")
-    here, h = here.select(row, "_line", "_rank"), 1
-    while h < min_lines:
-        step = min(h, min_lines - h)
-        ahead = here.select(row, (F.col("_line") - step).alias("_line"), F.col("_rank").alias("_next"))
-        pairs = here.select(row, "_line", "_rank").join(ahead, [row, "_line"])
-        groups = pairs.groupBy("_rank", "_next").agg(F.count("*").alias("n"), F.min(F.struct(row, "_line")).alias("_first")).where("n > 1")
-        ranks = _ranked(groups.select("_rank", "_next", "_first"), ["_rank", "_next"], "_new")
-        here = cut(pairs.join(ranks, ["_rank", "_next"]).select(row, "_line", F.col("_new").alias("_rank"), "_first"))
-        h += step
-    starts = here.where(F.struct(row, "_line") > F.col("_first")).select(row, "_line")
-    runs = starts.select(row, F.explode(F.sequence("_line", F.col("_line") + (min_lines - 1))).alias("_line"))
-    return runs.unionByName(single).distinct()
+    spark = ranks.sparkSession
+    if not levels:
+        return spark.createDataFrame([], "row long, line int, at long, lcp int")
+    depth = None
+    for h in sorted(levels):  # the last level of each suffix
+        part = levels[h].select("row", "line", F.lit(h).alias("depth"))
+        depth = part if depth is None else depth.unionByName(part)
+    depth = depth.groupBy("row", "line").agg(F.max("depth").alias("depth"))
+    table = _sorted(ranks.join(depth, ["row", "line"]).select("row", "line", "rank", "depth"), ["rank"])
+    ends = {r["part"]: r for r in table.mapInArrow(_last, "part long, n long, row long, line int, depth int").collect()}
+    begin, before, offset = {}, (-1, -1, 0), 0
+    for part in sorted(ends):
+        begin[part] = (offset, before)
+        offset, before = offset + ends[part]["n"], (ends[part]["row"], ends[part]["line"], ends[part]["depth"])
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = begin.get(TaskContext.get().partitionId(), (0, (-1, -1, 0)))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, line, depth = (b.column(c).to_numpy() for c in ("row", "line", "depth"))
+            prev = [np.concatenate([[x], c[:-1]]).astype(c.dtype) for x, c in zip(last, (row, line, depth), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, line, at + np.arange(len(row)), prev[0], prev[1], np.minimum(depth, prev[2]))], ["row", "line", "at", "prow", "pline", "depth"])
+            at, last = at + len(row), (int(row[-1]), int(line[-1]), int(depth[-1]))
+
+    out = table.mapInArrow(beside, "row long, line int, at long, prow long, pline int, depth int").withColumn("lcp", F.lit(0))
+    for k, h in enumerate(sorted(levels, reverse=True)):
+        level = levels[h]
+        here = level.select(F.col("row"), (F.col("line") + 0).alias("l1"), F.col("rank").alias("r1"))
+        there = level.select(F.col("row").alias("prow"), (F.col("line") + 0).alias("l2"), F.col("rank").alias("r2"))
+        asks = F.col("depth") >= h  # a shorter shared prefix cannot hold so many lines
+        out = out.withColumns({"l1": F.when(asks, F.col("line") + F.col("lcp")), "l2": F.when(asks, F.col("pline") + F.col("lcp"))})
+        out = out.join(here, ["row", "l1"], "left").join(there, ["prow", "l2"], "left")
+        out = out.select("row", "line", "at", "prow", "pline", "depth", (F.col("lcp") + F.when(F.col("r1") == F.col("r2"), h).otherwise(0)).alias("lcp"))
+        if k % 3 == 2:
+            out = cut(out)
+    return out.select("row", "line", "at", "lcp")
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, last = 0, None
+    for b in batches:
+        if b.num_rows:
+            n, last = n + b.num_rows, [b.column(c)[-1].as_py() for c in ("row", "line", "depth")]
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([last[0]]), pa.array([last[1]], pa.int32()), pa.array([last[2]], pa.int32())], ["part", "n", "row", "line", "depth"])
+
+
+def intervals(table: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Occurrences of repeated passages: row, line, size (in lines), interval (its number among those of that size).
+
+    table: the result of lines(), with at most one row per (row, line). A passage is a run of min_lines lines, or of fewer with
+    min_words words. An unbroken stretch of the suffix array in which neighbours have `size` lines in common is the interval of all
+    occurrences of those lines. Longer runs are unions of such passages, so sizes up to min_lines are listed.
+    """
+    array = neighbours(*suffix_array(table))
+    have = F.col("words")
+    array = array.join(table.select("row", "line", "left", "words"), ["row", "line"])
+    fit = [F.lit(min_lines <= 1) | (have >= min_words)]
+    for k in range(1, min_lines):
+        array = array.join(table.select("row", (F.col("line") - k).alias("line"), F.col("words").alias(f"w{k}")), ["row", "line"], "left")
+        have = have + F.coalesce(f"w{k}", F.lit(0))
+        fit.append((F.col("left") > k) & ((have >= min_words) | F.lit(k + 1 >= min_lines)))
+    array = array.select("row", "line", "at", "lcp", F.array(*fit).alias("fit"))
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    array = cut(array.repartitionByRange(n, "at").sortWithinPartitions("at"))
+    sizes = np.arange(1, max(1, min_lines) + 1)
+
+    def breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many suffixes start an interval of each size, per partition."""
+        total = np.zeros(len(sizes), np.int64)
+        for b in batches:
+            total += (b.column("lcp").to_numpy()[:, None] < sizes).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()])], ["part", "n"])
+
+    counts, sums, total = {r["part"]: np.array(r["n"]) for r in array.mapInArrow(breaks, "part long, n array<long>").collect()}, {}, np.zeros(len(sizes), np.int64)
+    for part in sorted(counts):
+        sums[part], total = total, total + counts[part]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = sums.get(TaskContext.get().partitionId(), np.zeros(len(sizes), np.int64))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            number = before + np.cumsum(b.column("lcp").to_numpy()[:, None] < sizes, axis=0)
+            before = number[-1]
+            at, size = np.nonzero(b.column("fit").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            pick = [pa.array(b.column(c).to_numpy()[at]) for c in ("row", "line")]
+            yield pa.RecordBatch.from_arrays([*pick, pa.array((size + 1).astype(np.int32)), pa.array(number[at, size])], ["row", "line", "size", "interval"])
+
+    return array.mapInArrow(name, "row long, line int, size int, interval long")
+
+
+def repeats(table: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Lines to delete: row, line. In each interval the first occurrence by (row, line) stays; the others are covered.
+
+    The passages that start in a repeated run cover it, however long it is, so what goes is whole maximal repeated runs.
+    """
+    found = intervals(table, min_lines, min_words).select("row", "line", "size", F.struct("size", "interval").alias("of"))
+    found = cut(found)
+    groups = found.groupBy("of").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("first")).where("n > 1")
+    later = hot_join(found, groups, "of", "n").where(F.struct("row", "line") > F.col("first"))
+    return later.select("row", F.explode(F.sequence("line", F.col("line") + F.col("size") - 1)).alias("line")).distinct()
 
 
 def dedup(df: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """Delete later copies of repeated runs of lines; adds kept_text, n_lines, n_removed and n_runs.
 
-    df: any columns, among them doc_id and text. A run is min_lines consecutive lines or more, or one
-    line of min_words words or more, that also occurs earlier in the order of (doc_id, line), in the same
+    df: any columns, among them doc_id and text; columns with the names of the added ones are replaced, other names may be
+    any. A run is min_lines consecutive lines or more, or fewer lines with min_words words or more together,
+    that also occurs earlier in the order of (doc_id, line), in the same
     document or another. Lines end at \\n and are compared whole; words are runs of other characters than white space. Null text stays null,
     with no lines; the empty text is one empty line. Rows with the same doc_id and text count as
     one document (they are kept or cut alike); rows with one doc_id and different texts are ordered by
-    the text's hash. A null doc_id comes first. n_runs counts the maximal deleted runs.
+    the text's hash. A null doc_id comes first. n_runs counts the maximal deleted runs. An empty table gives an empty result.
+
+    Equal texts enter the suffix array once, by their first row: the later ones are repeated runs as a whole.
     """
-    id_ = F.col("doc_id")
-    tag = df.withColumn("_row", F.struct(id_.alias("d"), F.xxhash64("text").alias("h")))
-    slim = tag.select("_row", "text")
-    table = cut(lines(slim).dropDuplicates(["_row", "_line"]) if _has_repeats(df) else lines(slim))
-    gone = repeats(table, min_lines=min_lines, min_words=min_words)
-    per = gone.groupBy("_row").agg(F.sort_array(F.collect_list("_line")).alias("_gone"))
-    out = tag.join(per, "_row", "left")
+    prepare(df.sparkSession)
+    hash_, row, gone_, name = (fresh(df, x) for x in ("hash", "row", "gone", "key"))
+    tag = df.withColumn(hash_, F.md5("text"))
     parts = F.split(F.col("text"), "\n", -1)
+    slim = tag.where("text is not null").select(F.struct(F.col("doc_id"), F.col(hash_).alias("h")).alias("k"), F.size(parts).alias("n"), word_lengths(F.translate("text", "\n", " ")).alias("w"))
+    rows = cut(slim.groupBy("k").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.count("*").alias("times")))
+    heads = cut(rows.groupBy(F.col("k.h").alias("h")).agg(F.min("k").alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("w").alias("w"), F.max("times").alias("times")))
+    # first rows in order, by number
+    named = cut(heads.select("head").orderBy("head").select(F.col("head").alias(name), F.monotonically_increasing_id().alias(row)))
+    copies = rows.select(F.col("k.h").alias("h"), "k")
+    again = hot_join(copies, heads.where("copies > 1").drop("times"), "h", "copies").where((F.col("k") != F.col("head")) & ((F.col("n") >= min_lines) | (F.col("w") >= min_words)))
+    again = again.select(F.col("k").alias(name), F.sequence(F.lit(0), F.col("n") - 1).alias(gone_))
+    texts = tag.select(F.struct(F.col("doc_id"), F.col(hash_).alias("h")).alias(name), "text").join(named, name).select(row, "text")
+    if (heads.agg(F.max("times")).first()[0] or 0) > 1:  # of rows with the same doc_id and text, one
+        texts = texts.dropDuplicates([row])
+    table = cut(lines(texts, row))
+    gone = repeats(table, min_lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias(gone_)).withColumnRenamed("row", row)
+    per = gone.join(named, row).select(name, gone_).unionByName(again).select(F.col(f"{name}.doc_id").alias(name), F.col(f"{name}.h").alias(hash_), gone_)
+    out = tag.join(per.withColumnRenamed(hash_, row), F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(hash_) == F.col(row)), "left")
     none = F.array().cast("array<int>")
-    gone_ = F.coalesce("_gone", none)
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_), lambda i: F.element_at(parts, i + 1)), "\n")
-    )
-    runs = F.size(F.filter(gone_, lambda x: ~F.array_contains(gone_, x - 1)))
+    # lines are split once and bound by a lambda: an expression inside one is run for each element
+    left = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone_)), lambda i: F.element_at(p, i + 1)), "\n")), 1)
+    kept = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(left)
+    state = F.aggregate(F.coalesce(F.col(gone_), none), F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("at"), (s["n"] + F.when(x == s["at"] + 1, 0).otherwise(1)).alias("n")))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
-    return out.withColumns({"kept_text": kept, "n_lines": count.cast("long"), "n_removed": F.size(gone_).cast("long"), "n_runs": runs.cast("long")}).drop("_row", "_gone")
-
-
-def _has_repeats(df: DataFrame) -> bool:
-    """Whether any doc_id occurs twice."""
-    n, d = df.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    return n > d + df.where("doc_id is null").limit(1).count()
+    added = {"kept_text": kept, "n_lines": count.cast("long"), "n_removed": F.size(F.coalesce(F.col(gone_), none)).cast("long"), "n_runs": state["n"].cast("long")}
+    return out.withColumns(added).drop(hash_, row, gone_, name)

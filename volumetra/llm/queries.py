@@ -70,17 +70,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}""",
     "op10_line_dedup": f"""
 WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM p),
+c AS (SELECT *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM l),
 w AS (
-  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS again,
-    len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) >= {linededup.MIN_WORDS} AS long,
-    lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(i, 2) OVER d AS i2
-  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(i, 1) OVER d AS i1, lead(i, 2) OVER d AS i2, lead(n, 1) OVER d AS n1,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS again
+  FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), r AS (
-  SELECT doc_id, i, t, again AND long AS single,
-    i2 IS NOT NULL AND row_number() OVER (PARTITION BY t, t1, t2, i2 IS NULL ORDER BY doc_id, i) > 1 AS run
+  SELECT doc_id, i, t, again AND n >= {linededup.MIN_WORDS} AS one,
+    i1 IS NOT NULL AND n + n1 >= {linededup.MIN_WORDS} AND row_number() OVER (PARTITION BY t, t1, i1 IS NULL ORDER BY doc_id, i) > 1 AS two,
+    i2 IS NOT NULL AND row_number() OVER (PARTITION BY t, t1, t2, i2 IS NULL ORDER BY doc_id, i) > 1 AS three
   FROM w
 ), g AS (
-  SELECT doc_id, i, t, single OR run OR coalesce(lag(run, 1) OVER d, false) OR coalesce(lag(run, 2) OVER d, false) AS gone
+  SELECT doc_id, i, t, one OR two OR three OR coalesce(lag(two OR three, 1) OVER d, false) OR coalesce(lag(three, 2) OVER d, false) AS gone
   FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), k AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
