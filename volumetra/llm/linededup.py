@@ -58,7 +58,7 @@ def _bounds(table: DataFrame, keys: list[str]) -> dict[int, tuple]:
 
     rows = sorted(table.mapInArrow(run, "part long, n long, first array<long>, last array<long>, since array<long>").collect(), key=lambda r: r["part"])
     out, offset, last, starts = {}, 0, None, None
-    for r, following in zip(rows, [*rows[1:], None], strict=True):
+    for r, following in zip(rows, [*rows[1:], None], strict=False):
         out[r["part"]] = (offset, last, starts, list(following["first"]) if following else None)
         now = [offset + x for x in r["since"]]
         for i in range(many):
