@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from volumetra.llm import bwt, chaining, langid, linededup, media, mixing, nearcopies, packing, sharding, simhash, topk
+from volumetra.llm import bwt, chaining, langid, linededup, media, mixing, nearcopies, packing, sharding, simhash
 from volumetra.llm.common import components, prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key string"
@@ -252,37 +252,6 @@ def test_dense_runs_are_probed(monkeypatch):
     assert (simhash._links(np.zeros(len(fp), np.int64), fp) == 0).all()
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_top_k(spark, monkeypatch, ranged):
-    if ranged:  # several ranges and chunks, so that queries meet other ranges
-        monkeypatch.setattr(topk, "SUPER", 60)
-        monkeypatch.setattr(topk, "CHUNK", 8)
-    rng = np.random.default_rng(1)
-    rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
-    rows += [(i + 300, rows[i][1]) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (None, [1.0] * 8), (7, [9.0] * 8)]
-    df = spark.createDataFrame([r for r in rows if r != rows[-1]], "vec_id long, embedding array<float>")
-    got = {}
-    for r in topk.top_k(df, 20, 5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    q = {i: np.pad([math.floor(64 * float(np.float32(x))) for x in e], (0, 8 - len(e))) for i, e in rows[:-1] if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    for i in (x for x in q if x % 20 == 0):
-        best = sorted((-int(q[i] @ v), j) for j, v in q.items() if j != i)[:5]
-        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert topk.top_k(df.where("false")).count() == 0
-
-
-def test_blocks_are_pruned():
-    rng = np.random.default_rng(2)
-    centre = rng.integers(-40, 40, (16, 12))
-    m = np.repeat(centre, 64, 0) + rng.integers(-2, 3, (1024, 12))
-    ids = np.arange(1024)
-    scores, found, visited = topk.search(m[::50], ids[::50], np.full(21, topk.NONE), m, ids, 10)
-    for row, i in enumerate(ids[::50]):
-        best = sorted((-int(m[i] @ m[j]), j) for j in ids if j != i)[:10]
-        assert [(-s, j) for s, j in zip(scores[row], found[row])] == best
-    assert visited < 21 * 16 / 2
-
-
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs).collect()
     sizes, taken, target = Counter(), Counter(), {}
