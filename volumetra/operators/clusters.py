@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..kernels import blur, dilate, kmeans, mixture, assign, moments, voronoi
+from ..kernels import assign, blur, dilate, kmeans, mixture, voronoi
 from ..registry import register
 from .intensity import keep_stats, unit
 
@@ -57,9 +57,9 @@ def mixture_refinement(v, ids, draw, n_range=(2, 4)):
 
 
 def remap(v, ids, fg, draw, magnitude=(0.5, 2.0)):
-    """Around each region's mean: a new level plus a signed, scaled residual; clamped to [0, 1], background 0."""
+    """Around each region's foreground mean: a new level plus a signed, scaled residual; clamped to [0, 1], background 0."""
     count = int(ids.max()) + 1
-    _, mean, _ = moments(v.ravel(), ids.ravel(), count)
+    mean = np.bincount(ids.ravel(), (v * fg).ravel(), count) / np.maximum(np.bincount(ids[fg], minlength=count), 1e-7)
     rng = draw.rng("remap")
     level, scale = rng.random(count), rng.uniform(*magnitude, count) * rng.choice([-1, 1], count)
     return np.clip(level[ids] + scale[ids] * (v - mean[ids]), 0, 1) * fg
@@ -126,24 +126,35 @@ def bump(v, mean, sd):
     return np.exp(-((v - mean) ** 2) / (2 * sd * sd)) / (sd * np.sqrt(2 * np.pi))
 
 
+def spread(v, on, shell, ddof=0):
+    """How far a region differs from its shell, in units of their deviations, and its mean."""
+    sd = lambda m: v[m].std(ddof=ddof) if m.sum() > ddof else 0.0
+    mean, inner = v[on].mean(), sd(on)
+    far, outer = (v[shell].mean(), sd(shell)) if shell.any() else (mean, inner) if ddof else (0.0, 0.0)
+    return mean, 0.4 * abs((mean - far) * inner / (outer + 1e-6))
+
+
 @register("RandomRedistributeSegGPU", "redistribute_seg", "TA")
 def redistribute(img, seg, draw, in_seg=0.2, retain_stats=True, std_noise_range=(0.1, 0.3), dilation_iterations_range=(1, 3), apply_to_channel=(0,)):
-    """Add a signed Gaussian bump per region, as wide as the region differs from its dilated shell; background is a region too."""
+    """Add a Gaussian bump per region, scaled by a factor in [-1, 1] and as wide as the region differs from its dilated shell; background is a region too."""
     if seg is None or not (seg > 0).any():
         return img, seg
     out, times = img.copy(), int(draw.between("times", dilation_iterations_range[0], dilation_iterations_range[1] + 1 - 1e-9))
+    inside, noise = draw.chance("inside", in_seg), draw.between("noise", *std_noise_range)
     for c in apply_to_channel:
+        if not 0 <= c < len(img):
+            raise ValueError(f"channel {c} of {len(img)}")
         old = img[c].astype(np.float64)
-        v, add = unit(old, 1e-8), np.zeros(old.shape)
+        v, add = (old - old.min()) / max(old.max() - old.min(), 1e-6), np.zeros(old.shape)
         for k in np.unique(seg):
             on = seg == k
-            shell = dilate(on, times) & ~on
-            sd = abs(v[on].mean() - v[shell].mean()) if shell.any() else v[on].std()
-            sd = max(sd + draw.between(f"noise.{int(k)}", *std_noise_range) * v[on].std(), 1e-6)
-            add += (1 if draw.chance(f"sign.{int(k)}", 0.5) else -1) * bump(v, v[on].mean(), sd) * (on if draw.chance("inside", in_seg) else 1)
-        new = v + 2 * unit(add, 1e-8)
-        if retain_stats:
-            new = (new - new.mean()) / (new.std() + 1e-8) * old.std() + old.mean()
+            mean, far = spread(v, on, dilate(on, times) & ~on)
+            wide = max(draw.u(f"wide.{c}.{int(k)}") * noise + far, 0.01)
+            add += bump(v, mean, wide) * draw.between(f"factor.{c}.{int(k)}", -1, 1) * (on if inside else 1)
+        low, high = add.min(), add.max()
+        new = v + 2 * (add - low) / (high - low + 1e-6) if high - low > 1e-8 else v
+        if retain_stats:  # deviations of the population here
+            new = (new - new.mean()) / max(new.std(), 1e-7) * old.std() + old.mean()
         if np.isfinite(new).all():
             out[c] = new
     return out, seg
@@ -151,22 +162,22 @@ def redistribute(img, seg, draw, in_seg=0.2, retain_stats=True, std_noise_range=
 
 @register("RedistributeTransform", "redistribute_seg", "TA")
 def redistribute_first(img, seg, draw, classes=None, in_seg=0.2, retain_stats=False):
-    """Variant: labels only, three 6-connected dilations, sum scaled by its greatest absolute value."""
+    """Variant: labels only, three 6-connected dilations, the sum scaled so that its greatest magnitude is 2."""
     if seg is None or not (seg > 0).any():
         return img, seg
     groups = np.zeros_like(seg)
     for i, labels in enumerate(classes or [], 1):
         groups[np.isin(seg, labels)] = i
     seg_, old = groups if classes else seg, img[0].astype(np.float64)
-    v, add = unit(old, 1e-8), np.zeros(old.shape)
+    v, add = (old - old.min()) / max(old.max() - old.min(), 1e-6), np.zeros(old.shape)
+    inside = draw.chance("inside", in_seg)
     for k in np.unique(seg_[seg_ > 0]):
         on = seg_ == k
-        shell = dilate(on, 3, corners=False) & ~on
-        sd = max(abs(v[on].mean() - v[shell].mean()) if shell.any() else v[on].std(), 1e-6)
-        add += (1 if draw.chance(f"sign.{int(k)}", 0.5) else -1) * bump(v, v[on].mean(), sd) * (on if draw.chance("inside", in_seg) else 1)
-    top, out = np.abs(add).max(), img.copy()
-    new = v + (add / top if top > 0 else add)
-    new = keep_stats(new, old, 1e-7) if retain_stats else new
+        mean, far = spread(v, on, dilate(on, 3, corners=False) & ~on, 1)
+        wide = max(draw.between(f"wide.{int(k)}", 0, 0.2) + far, 0.01)
+        add += bump(v, mean, wide) * draw.between(f"factor.{int(k)}", -1, 1) * (on if inside else 1)
+    new, out = v + 2 * add / (np.abs(add).max() + 1e-6), img.copy()
+    new = keep_stats(new, old, least=1e-7) if retain_stats else new
     if np.isfinite(new).all():
         out[0] = new
     return out, seg

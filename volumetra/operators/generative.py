@@ -6,7 +6,7 @@ import numpy as np
 
 from ..kernels import affine, assign, blur, integrate, mixture, quantile, resize
 from ..registry import register
-from .geometry import about_centre, degrade, warp
+from .geometry import about_centre, acquire, warp
 
 
 def relabel(seg: np.ndarray, table: dict[int, int]) -> np.ndarray:
@@ -90,23 +90,20 @@ def generate(img, seg, draw, deform=True, bias_field_std=0.7, nonlin_std=4.0, sc
         if low_res and not draw.chance(f"full.{c}", 0.05):
             same, f, axis = draw.chance(f"isotropic.{c}", 0.1), draw.between(f"res.{c}", 0.25, 0.9), draw.pick(f"axis.{c}", (0, 1, 2))
             factors = [f if same or a == axis else 1.0 for a in range(3)]
-            v = degrade(blur(v, tuple(0.75 / x if x < 1 else 0 for x in factors)), factors)
+            v = acquire(blur(v, tuple(0.75 / x if x < 1 else 0 for x in factors)), factors)
         out[c] = v
     return out, np.vectorize(lambda k: parent.get(int(k), 0))(labels).astype(seg.dtype)
 
 
 @register("RandomSynthSegGPU", "synthseg", "TA", defaults={"p": 0.5})
 def synthetic_intensity(img, seg, draw, bias_field_std=0.7, gamma_std=0.5, apply_to_channel=(0,)):
-    """A new image for the same labels: only intensities change."""
+    """A new image for the same labels: only intensities change. Channels that are not there are passed over."""
     if seg is None:
         return img, seg
-    for c in apply_to_channel:
-        if not 0 <= c < len(img):
-            raise ValueError(f"channel {c} of {len(img)}")
     new, _ = generate(img, seg, draw, deform=False, bias_field_std=bias_field_std, gamma_std=gamma_std)
     out = img.copy()
     for c in apply_to_channel:
-        if np.isfinite(new[c]).all():
+        if 0 <= c < len(img) and np.isfinite(new[c]).all():
             out[c] = new[c]
     return out, seg
 

@@ -60,10 +60,17 @@ def crop_in_place(img, seg, draw, crop=(1, 1), pos=(0, 1), pad_value="min"):
 
 
 def degrade(v, factors):
-    small = tuple(max(1, int(n * f)) for n, f in zip(v.shape, factors, strict=True))
+    """Down and up, both trilinear with aligned sample centres; sizes round half to even."""
+    small = tuple(max(1, round(n * f)) for n, f in zip(v.shape, factors, strict=True))
     return resize(resize(v, small), v.shape)
 
 
+def acquire(v, factors):
+    """What a scanner of that resolution would see: the nearest samples, then trilinear between aligned corners."""
+    small = tuple(max(1, round(n * f)) for n, f in zip(v.shape, factors, strict=True))
+    return resize(resize(v, small, nearest=True), v.shape, corners=True)
+
+
 @register("RandomLowResTransformGPU", "low_res", "GE")
 @register("SimulateLowResolutionTransform", "low_res", "GE", exact=False)
 def low_resolution(img, seg, draw, scale=(0.3, 1)):

@@ -9,10 +9,10 @@ from ..kernels import coordinates, quantile
 from ..registry import register
 
 
-def keep_stats(new: np.ndarray, old: np.ndarray, eps: float = 1e-8) -> np.ndarray:
-    """Bring back the mean and the sample deviation of the original."""
+def keep_stats(new: np.ndarray, old: np.ndarray, eps: float = 1e-8, least: float = 0.0) -> np.ndarray:
+    """Bring back the mean and the sample deviation of the original. The GPU variants add eps to the new deviation, the CPU variants hold it at `least` or more."""
     sd = lambda v: v.std(ddof=1) if v.size > 1 else 0.0
-    return (new - new.mean()) / (sd(new) + eps) * sd(old) + old.mean()
+    return (new - new.mean()) / (max(sd(new), least) if least else sd(new) + eps) * sd(old) + old.mean()
 
 
 def region(new, old, seg, draw: Draw, c: int, in_seg: float = 0.0, out_seg: float = 0.0, mix_in_out: bool = False):
@@ -32,7 +32,7 @@ def region(new, old, seg, draw: Draw, c: int, in_seg: float = 0.0, out_seg: floa
     return np.where(on if a else ~on, new, old)
 
 
-def each(img, seg, draw, f, apply_to_channel=(0,), retain_stats=False, mix_prob=0.0, eps=1e-8, **where):
+def each(img, seg, draw, f, apply_to_channel=(0,), retain_stats=False, mix_prob=0.0, least=0.0, **where):
     """Apply f to channels: mix with the original, restore statistics, select a region; drop non-finite results."""
     out = img.copy()
     for c in apply_to_channel:
@@ -44,7 +44,7 @@ def each(img, seg, draw, f, apply_to_channel=(0,), retain_stats=False, mix_prob=
             a = draw.u(f"alpha.{c}")
             new = a * old + (1 - a) * new
         if retain_stats:
-            new = keep_stats(new, old, eps)
+            new = keep_stats(new, old, least=least)
         new = region(new, old, seg, draw, c, **where)
         if np.isfinite(new).all():
             out[c] = new
@@ -128,7 +128,7 @@ def _function(name):
         return each(img, seg, draw, lambda v, c: FUNCTIONS[name](unit(v)), apply_to_channel, retain_stats, mix_prob, in_seg=in_seg, out_seg=out_seg, mix_in_out=mix_in_out)
 
     def first(img, seg, draw, retain_stats=False):
-        return each(img, seg, draw, lambda v, c: FUNCTIONS[name](unit(v)), (0,), retain_stats, eps=1e-7)
+        return each(img, seg, draw, lambda v, c: FUNCTIONS[name](unit(v)), (0,), retain_stats, least=1e-7)
 
     stem = name[0].upper() + name[1:]
     register(f"Random{stem}GPU", f"func_{name}", "TA")(apply)
@@ -174,7 +174,7 @@ def equalisation_first(img, seg, draw, retain_stats=False):
         cdf = (cdf - cdf.min()) / max(cdf.max() - cdf.min(), 1e-10)
         return cdf[np.searchsorted(edges[1:-1], v, side="left")] * (high - low) + low
 
-    return each(img, seg, draw, f, (0,), retain_stats, eps=1e-7)
+    return each(img, seg, draw, f, (0,), retain_stats, least=1e-7)
 
 
 def terms(order: int) -> list[tuple[int, int, int]]:

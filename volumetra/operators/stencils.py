@@ -21,7 +21,7 @@ def laplace(img, seg, draw, absolute=True, retain_stats=True, mix_prob=0.0, appl
 
 @register("LaplaceConvTransform", "laplace", "TA")
 def laplace_zero(img, seg, draw, absolute=False, retain_stats=False):
-    return each(img, seg, draw, lambda v, c: np.abs(laplacian(v, "zero")) if absolute else laplacian(v, "zero"), (0,), retain_stats, eps=1e-7)
+    return each(img, seg, draw, lambda v, c: np.abs(laplacian(v, "zero")) if absolute else laplacian(v, "zero"), (0,), retain_stats, least=1e-7)
 
 
 @register("RandomScharrGPU", "scharr", "TA")
@@ -31,7 +31,7 @@ def scharr_reflect(img, seg, draw, absolute=True, retain_stats=True, mix_prob=0.
 
 @register("ScharrConvTransform", "scharr", "TA")
 def scharr_zero(img, seg, draw, absolute=True, retain_stats=False):
-    return each(img, seg, draw, lambda v, c: _edges(v, absolute, "zero"), (0,), retain_stats, eps=1e-7)
+    return each(img, seg, draw, lambda v, c: _edges(v, absolute, "zero"), (0,), retain_stats, least=1e-7)
 
 
 def _sigmas(draw, sigma):

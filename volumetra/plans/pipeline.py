@@ -22,6 +22,24 @@ SCHEMA = "sample_id long, batch_id long, shape struct<c:int,d:int,h:int,w:int>,
 TRACE = "array<struct<op:string,target:string,changed:boolean,params:string>>"
 
 
+BATCH = 8 << 20  # bytes of images sent back together
+STEP = pa.struct([("op", pa.string()), ("target", pa.string()), ("changed", pa.bool_()), ("params", pa.string())])
+
+
+def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
+    """A list column from numpy arrays, null for None, without a Python object per element."""
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in arrays])])
+    values = [x for x in arrays if x is not None and len(x)]
+    flat = pa.array(np.concatenate(values) if values else np.empty(0), kind)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([x is None for x in arrays]))
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    sid, bid, shape, img, seg, trace = zip(*rows, strict=True)
+    cols = [pa.array(sid, pa.int64()), pa.array(bid, pa.int64()), pa.array(shape, pa.struct([(k, pa.int32()) for k in "cdhw"])), _lists(img, pa.float32()), _lists(seg, pa.int32()), pa.array(trace, pa.list_(STEP))]
+    return pa.RecordBatch.from_arrays(cols, ["sample_id", "batch_id", "shape", "img", "seg", "trace"])
+
+
 class Pipeline:
     def __init__(self, config: Config | dict, backend: str = "GPU", seed: int = 0):
         self.config = config if isinstance(config, Config) else Config(config)
@@ -76,11 +94,11 @@ class Pipeline:
         me = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for b in batches:
-                for i in range(b.num_rows):  # volumes are large: one at a time
+                for i in range(b.num_rows):
                     sid, bid, shape = (b.column(k)[i].as_py() for k in range(3))
-                    img, seg = b.column(3)[i], b.column(4)[i]
-                    trace = []
+                    img, seg, trace = b.column(3)[i], b.column(4)[i], []
                     if img.is_valid:
                         dims = (shape["c"], shape["d"], shape["h"], shape["w"])
                         v = img.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(dims)
@@ -89,16 +107,14 @@ class Pipeline:
                         shape = dict(zip("cdhw", map(int, v.shape), strict=True))
                         img, seg = np.ascontiguousarray(v, np.float32).ravel(), None if s is None else np.ascontiguousarray(s, np.int32).ravel()
                     else:
-                        img, seg = None, seg.as_py()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([sid], pa.int64()), pa.array([bid], pa.int64()),
-                            pa.array([shape], pa.struct([(k, pa.int32()) for k in "cdhw"])),
-                            pa.array([img], pa.list_(pa.float32())), pa.array([seg], pa.list_(pa.int32())),
-                            pa.array([trace], pa.list_(pa.struct([("op", pa.string()), ("target", pa.string()), ("changed", pa.bool_()), ("params", pa.string())]))),
-                        ],
-                        ["sample_id", "batch_id", "shape", "img", "seg", "trace"],
-                    )
+                        img, seg = None, None if not seg.is_valid else seg.values.to_numpy(zero_copy_only=False)
+                    held.append((sid, bid, shape, img, seg, trace))
+                    size += 1_000 + (0 if img is None else img.nbytes)
+                    if size > BATCH:
+                        yield batch(held)
+                        held, size = [], 0
+            if held:
+                yield batch(held)
 
         return df.select("sample_id", "batch_id", "shape", "img", "seg").mapInArrow(run, f"{SCHEMA}, trace {TRACE}")
 

@@ -152,32 +152,32 @@ def histogram_cdf(spark, d):
 c AS (SELECT *, count(*) OVER (PARTITION BY vec_id ORDER BY bin) AS cdf FROM b), e AS (SELECT *, min(cdf) OVER (PARTITION BY vec_id) AS base FROM c)
 SELECT vec_id, pos, round((cdf - base) / greatest(64 - base, 1e-10) * (hi - lo) + lo, 5) + 0.0 AS v FROM e""")
 def histogram_equalisation(spark, d):
-    b = volumes(spark, d).select("vec_id", "img", A.with_stats(F.col("img"), lambda x, s: F.least(F.floor((x - s["low"]) / ((s["high"] - s["low"]) / 256 + 1e-10)), F.lit(255))).alias("bin"), F.array_min("img").alias("lo"), F.array_max("img").alias("hi"))
-    rank = F.transform("bin", lambda k: F.size(F.filter("bin", lambda j: j <= k)).cast("double"))
-    new = A.bind(rank, lambda r: A.bind(F.array_min(r), lambda base: F.transform(r, lambda c: (c - base) / F.greatest(F.size("img") - base, F.lit(1e-10)) * (F.col("hi") - F.col("lo")) + F.col("lo"))))
-    return out(b.select("vec_id", F.posexplode(new).alias("pos", "v")))
+    """Counts per bin, their running sum over 256 bins at most, and a look-up: linear in the voxels."""
+    stats = volumes(spark, d).select("vec_id", F.array_min("img").alias("lo"), F.array_max("img").alias("hi"), F.size("img").alias("size"), "img")
+    b = stats.select("vec_id", "lo", "hi", "size", F.posexplode("img").alias("pos", "v")).withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 256 + 1e-10)), F.lit(255)))
+    w = Window.partitionBy("vec_id").orderBy("bin")
+    cdf = b.groupBy("vec_id", "bin").agg(F.count("*").alias("n")).select("vec_id", "bin", F.sum("n").over(w).alias("cdf"), F.first("n").over(w).alias("base"))
+    new = (F.col("cdf") - F.col("base")) / F.greatest(F.col("size") - F.col("base"), F.lit(1e-10)) * (F.col("hi") - F.col("lo")) + F.col("lo")
+    return out(b.join(cdf, ["vec_id", "bin"]), "vec_id", "pos", new.alias("v"))
 
 
 def _reflect(c: str) -> str:
     return f"CASE {c} WHEN -1 THEN 1 WHEN 4 THEN 2 ELSE {c} END"
 
 
-def stencil(spark, d, weights: dict[tuple[int, int, int], float], reflect: bool) -> DataFrame:
-    """Neighbourhood sums as a bounded expression over the array: no shuffle, one lookup per tap."""
+def along(a: Column, taps: tuple[float, float, float], axis: int, reflect: bool) -> Column:
+    """Three taps along one axis of a 4 x 4 x 4 array. Which elements are neighbours is fixed when the plan is made; beyond the border is the mirror image, or 0."""
+    step = (16, 4, 1)[axis]
+    near = [(p - step if p // step % 4 else p + step if reflect else 64, p + step if p // step % 4 < 3 else p - step if reflect else 64) for p in range(64)]
+    low, high = (F.array(*[F.lit(x[k]) for x in near]) for k in (0, 1))
+    full = a if reflect else F.concat(a, F.array(F.lit(0.0)))
+    return A.bind(full, lambda v: A.bind(low, lambda i: A.bind(high, lambda j: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: taps[0] * v[i[p]] + taps[1] * v[p] + taps[2] * v[j[p]]))))
 
-    def place(c, k):
-        return F.when(c + k < 0, -(c + k)).when(c + k > 3, 6 - (c + k)).otherwise(c + k) if reflect else c + k
 
-    def value(p):
-        z, y, x = F.floor(p / 16).cast("int"), (F.floor(p / 4) % 4).cast("int"), (p % 4).cast("int")
-        parts = []
-        for (i, j, k), w in weights.items():
-            a, b, c = place(z, i), place(y, j), place(x, k)
-            tap = F.col("img")[a * 16 + b * 4 + c]
-            parts.append((tap if reflect else F.when(a.between(0, 3) & b.between(0, 3) & c.between(0, 3), tap).otherwise(0.0)) * w)
-        return sum(parts[1:], parts[0])
-
-    return out(volumes(spark, d).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), value)).alias("pos", "v")))
+def separable(a: Column, taps: list[tuple[float, float, float]], reflect: bool) -> Column:
+    for axis, t in enumerate(taps):
+        a = along(a, t, axis, reflect)
+    return a
 
 
 CUBE = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -193,20 +193,23 @@ def _stencil_sql(weights: dict, reflect: bool) -> str:
 
 
 LAPLACE = {c: 26.0 if c == (0, 0, 0) else -1.0 for c in CUBE}
-SCHARR_X = {(i, j, k): k * (10.0 if i == 0 else 3.0) * (10.0 if j == 0 else 3.0) / 256 for i, j, k in CUBE if k}
+SCHARR_X = {(i, j, k): k * (10.0 if i == 0 else 3.0) * (10.0 if j == 0 else 3.0) for i, j, k in CUBE if k}  # 9, 30 or 100, as defined
 GAUSS = {(i, j, k): 2.0 ** -(3 + abs(i) + abs(j) + abs(k)) for i, j, k in CUBE}
-for _name, _w, _r in (("laplace_reflect", LAPLACE, True), ("laplace_zero", LAPLACE, False), ("scharr_x", SCHARR_X, True), ("gaussian_blur_3tap", GAUSS, True), ("box_filter", dict.fromkeys(CUBE, 1.0), False)):
-    QUERIES[_name] = lambda spark, d, w=_w, r=_r: stencil(spark, d, w, r)
+ONES, HALVES, SMOOTH, DIFFER = (1.0, 1.0, 1.0), (0.25, 0.5, 0.25), (3.0, 10.0, 3.0), (-1.0, 0.0, 1.0)
+for _name, _w, _r, _f in (
+    ("laplace_reflect", LAPLACE, True, lambda a: F.zip_with(a, separable(a, [ONES] * 3, True), lambda x, y: 27 * x - y)),
+    ("laplace_zero", LAPLACE, False, lambda a: F.zip_with(a, separable(a, [ONES] * 3, False), lambda x, y: 27 * x - y)),
+    ("scharr_x", SCHARR_X, True, lambda a: separable(a, [SMOOTH, SMOOTH, DIFFER], True)),
+    ("gaussian_blur_3tap", GAUSS, True, lambda a: separable(a, [HALVES] * 3, True)),
+    ("box_filter", dict.fromkeys(CUBE, 1.0), False, lambda a: separable(a, [ONES] * 3, False)),
+    ("unsharp_mask", GAUSS, True, lambda a: F.zip_with(a, separable(a, [HALVES] * 3, True), lambda x, y: x + 1.5 * (x - y))),
+):
+    QUERIES[_name] = lambda spark, d, f=_f: out(volumes(spark, d).select("vec_id", F.posexplode(f(F.col("img"))).alias("pos", "v")))
     ORACLES[_name] = _stencil_sql(_w, _r)
 
 
-@query("unsharp_mask", None)
-def unsharp_mask(spark, d):
-    blurred = stencil(spark, d, GAUSS, True).withColumnRenamed("v", "b")
-    return out(long(spark, d).join(blurred, ["vec_id", "pos"]), "vec_id", "pos", (F.col("v") + 1.5 * (F.col("v") - F.col("b"))).alias("v"))
-
-
-ORACLES["unsharp_mask"] = f"SELECT vec_id, pos, round(2.5 * e.v - 1.5 * b.v, 5) + 0.0 AS v FROM ({_stencil_sql(GAUSS, True)}) b JOIN (SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) e USING (vec_id, pos)"
+_BLUR = _stencil_sql(GAUSS, True).replace("round(sum(coalesce(n.v, 0) * w), 5) + 0.0", "sum(n.v * w)")
+ORACLES["unsharp_mask"] = f"SELECT vec_id, pos, round(2.5 * e.v - 1.5 * b.v, 5) + 0.0 AS v FROM ({_BLUR}) b JOIN (SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) e USING (vec_id, pos)"
 
 
 @query("dilate_26", f"{V}\nSELECT v.vec_id, v.pos, bool_or(n.v > 0.2)::INTEGER AS on FROM v JOIN v n ON n.vec_id = v.vec_id AND abs(n.z - v.z) <= 1 AND abs(n.y - v.y) <= 1 AND abs(n.x - v.x) <= 1 GROUP BY v.vec_id, v.pos".replace(" AS on ", ' AS "on" '))
@@ -334,25 +337,35 @@ def as_volumes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.floor(F.col("vec_id") / 10).alias("batch_id"), shape.alias("shape"), F.col("embedding").alias("img"), seg.alias("seg"))
 
 
-def _pipeline_query(name: str, config: dict, backend: str) -> None:
+def compiled(config: dict, backend: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         from .plans.pipeline import Pipeline
 
-        done = Pipeline(config, backend, SEED).apply(as_volumes(spark, d))
-        return out(done.select("sample_id", F.size("trace").alias("fired"), A.total(F.transform("img", lambda x: x.cast("double"))).alias("total"), F.size("img").alias("n")))
+        return Pipeline(config, backend, SEED).apply(as_volumes(spark, d))
 
-    QUERIES[name] = run
+    return run
 
 
 def _flagship() -> None:
     from .registry import entries
+    from .volume_sql import PARAMS, oracles
+
+    config = {"GPU": {"ZscoreNormalizationGPU": {}, "RandomSqrtGPU": {}, "RandomBrightnessGPU": {"in_seg": 1.0}}, "pipeline": {"same_on_batch": False}}
+
+    def flagship(spark: SparkSession, d: str) -> DataFrame:
+        done = compiled(config, "GPU")(spark, d)
+        return out(done.select("sample_id", F.size("trace").alias("fired"), A.total(F.transform("img", lambda x: x.cast("double"))).alias("total"), F.size("img").alias("n")))
+
+    QUERIES["pipeline_flagship"] = flagship
+    for e in entries():  # every registered operator through the compiled pipeline, voxel by voxel
+        config_ = {e.backend: {e.name: PARAMS.get(e.name, {}) | {"p": 1.0}}, "pipeline": {"same_on_batch": False}}
+
+        def voxels(spark: SparkSession, d: str, f=compiled(config_, e.backend)) -> DataFrame:
+            done = f(spark, d).select("sample_id", F.posexplode(F.arrays_zip("img", "seg")).alias("pos", "x"))
+            return out(done.select("sample_id", "pos", F.col("x.img").cast("double").alias("v"), F.col("x.seg").alias("label")))
 
-    _pipeline_query("pipeline_flagship", {"GPU": {"ZscoreNormalizationGPU": {}, "RandomSqrtGPU": {}, "RandomBrightnessGPU": {"in_seg": 1.0}}, "pipeline": {"same_on_batch": False}}, "GPU")
-    for e in entries():  # every registered operator through the compiled pipeline
-        params = {"bank": {"a__b": [[i / 15 * (k + 1) / 8 for i in range(16)] for k in range(8)]}} if e.concept == "domain_transfer" else {}
-        if e.concept in ("artifact", "spatial_custom"):
-            params = {k: True for k in e.params if k != "random_pick"}
-        _pipeline_query(f"volume_{e.name}", {e.backend: {e.name: params | {"p": 1.0}}, "pipeline": {"same_on_batch": False}}, e.backend)
+        QUERIES[f"volume_{e.name}"] = voxels
+    ORACLES.update(oracles(SEED))
 
 
 _flagship()
