@@ -301,19 +301,6 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((90, 95, 100), 90)}
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    cols = SCHEMA.split(", size")[0]
-    spark.createDataFrame([r[:5] for r in corpus()], cols).write.parquet(str(tmp_path / "documents.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert rows and {r.doc_id for r in rows} <= {r[0] for r in corpus()} - {0, 1, 2, 3}
-    full = Counter()
-    for r in rows:
-        full[r.sequence_id] += r.length
-    assert max(full.values()) <= packing.LENGTH
-
-
 def test_ids_by_word_are_those_of_the_whole_text():
     rng = random.Random(1)
     signs = "abZÉéßµªºÿŒİıſ'.,!?-_<|>12 \n\t\x00\x1c\xa0́​е中🙂\xadÀﬁ"
@@ -381,3 +368,12 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     rows = [(None, "alone without an id of its own"), (None, "the same few words again here"), (4, "the same few words again here"), (5, "twice the row and its id"), (5, "twice the row and its id"), (5, "one id but another text")]
     out = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter([rows[0], rows[2], rows[3], rows[5]])
+
+
+def test_simhash_of_rows_without_ids(spark):
+    rows = [(None, "alpha beta gamma delta"), (9, "alpha beta gamma delta"), (None, "only here"), (3, None), (None, "")]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.fingerprint, set()).add((r.doc_id, r.component_id))
+    assert sorted(map(sorted, (map(str, x) for x in by.values()))) == sorted(map(sorted, (map(str, x) for x in ({(None, 9), (9, 9)}, {(None, None)}, {(3, 3), (None, 3)}))))

@@ -14,10 +14,9 @@ from .common import prepare, worker_cache
 
 HASHED = 1 << 16  # weights per label
 ORDERS = (1, 2, 3, 4)  # n-grams of ^word$; those with ^ or $ are its affixes
-UNIT = 512  # words in one chain at most; longer texts are several chains
+UNIT = 512  # words of a chain that are gone through in step; longer chains are joined exactly by their units' transfer matrices
 SAMPLE_PER_LABEL = 200  # documents to learn from, per label, in expectation (4 times that at most)
 SAMPLE_CHARS = 1600  # of each, from a hashed place
-LABELS = 64  # the most frequent labels that are learned
 ROUNDS = 25
 CACHED = 250_000  # words a worker remembers
 
@@ -60,11 +59,11 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray, pairs: bool = False):
+def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray, pairs: bool = False, end: np.ndarray | None = None):
     """Posterior of each label at each position of many chains, in step over positions.
 
     emit: exp'd scores, one row per word; chain i is emit[starts[i] : starts[i] + lengths[i]]. move and begin:
-    exp'd transition and first scores. Messages are normalised at each step. With pairs
+    exp'd transition and first scores; begin, and end (what follows the last word, else 1), may have a row per chain. Messages are normalised at each step. With pairs
     also the expected transitions, the expected first labels and the log partition sum.
     """
     order = np.argsort(-lengths, kind="stable")
@@ -73,7 +72,7 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     active = np.searchsorted(-size, -np.arange(most), side="left") if most else []
     ahead, back = np.empty_like(emit), np.empty_like(emit)
     log_z = 0.0
-    a = np.broadcast_to(begin, (len(first), len(begin)))
+    a = begin[order] if begin.ndim > 1 else np.broadcast_to(begin, (len(first), len(begin)))
     for t in range(most):
         n = active[t]
         at = first[:n] + t
@@ -83,7 +82,7 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
         ahead[at] = a
         if pairs:
             log_z += float(np.log(z).sum())
-    b = np.ones((len(first), emit.shape[1]), emit.dtype)
+    b = np.ones((len(first), emit.shape[1]), emit.dtype) if end is None else end[order].astype(emit.dtype)
     for t in range(most - 1, -1, -1):
         n = active[t]
         m = active[t + 1] if t + 1 < most else 0
@@ -103,6 +102,42 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return post, joint.sum(0), post[starts].sum(0), log_z
 
 
+def posteriors(emit: np.ndarray, counts: np.ndarray, move: np.ndarray, begin: np.ndarray, unit: int = UNIT) -> np.ndarray:
+    """Forward-backward over whole texts, one chain each; counts: words of each text.
+
+    Chains of more than `unit` words are cut into units, so that one very long text does not make the others wait: each unit's transfer
+    matrix is built in step with the others', the messages at the cuts follow from those, and each unit runs with
+    the messages that enter it. The result is that of the uncut chain.
+    """
+    ends = np.cumsum(counts)
+    pieces = -(-counts // unit)
+    text = np.repeat(np.arange(len(counts)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = (ends - counts)[text] + nth * unit
+    lengths = np.minimum(unit, ends[text] - starts)
+    n = emit.shape[1]
+    first, last = np.broadcast_to(begin, (len(text), n)).copy(), np.ones((len(text), n), emit.dtype)
+    long_ = np.flatnonzero(pieces[text] > 1)
+    if len(long_):
+        at, size = starts[long_], lengths[long_]
+        over = emit[at][:, :, None] * np.eye(n, dtype=emit.dtype)
+        for t in range(1, int(size.max())):
+            on = np.flatnonzero(size > t)
+            step = (over[on] @ move) * emit[at[on] + t][:, None, :]
+            over[on] = step / step.sum((1, 2), keepdims=True)
+        for i in range(1, len(long_)):  # forward over the cuts
+            u = long_[i]
+            if nth[u]:
+                a = (first[u - 1] @ over[i - 1]) @ move
+                first[u] = a / a.sum()
+        for i in range(len(long_) - 2, -1, -1):  # and back
+            u = long_[i]
+            if nth[u] + 1 < pieces[text[u]]:
+                b = move @ (over[i + 1] @ last[u + 1])
+                last[u] = b / b.sum()
+    return forward_backward(emit, starts, lengths, move, first, end=last)
+
+
 @dataclass
 class Crf:
     """Weights of the field; labels are in order of code points."""
@@ -188,10 +223,11 @@ def sample(df: DataFrame, held_out, per_label: int = SAMPLE_PER_LABEL, chars: in
     """A bounded sample of labelled rows to learn from: rows by a hash of doc_id, a window of each.
 
     Label frequencies are counted over all rows that may be learned from; each label's rows are then
-    taken at the rate that gives per_label of them, 4 * per_label * labels at most in all.
+    taken at the rate that gives per_label of them, 4 * per_label * labels at most in all. Every label is learned; the driver holds
+    a row per label.
     """
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_label / r["count"]))])
@@ -240,7 +276,7 @@ def identify(df: DataFrame, model: Crf) -> DataFrame:
     df: any columns, among them text. lang_pred is the label with the greatest sum of posteriors over words
     with letters, score its share of that sum (0 to 1), n_words the words with letters, and n_switches how often
     neighbours among those have different best labels. Null text, text without letters, or a model without labels
-    gives `und` and 0. Ties go to the first label. Columns lang_pred, score, n_words, n_switches of the input are replaced.
+    gives `und` and 0. Ties go to the first label; equal texts get equal answers, whatever their doc_id, which may be null; an empty table gives an empty result. Columns lang_pred, score, n_words, n_switches of the input are replaced.
     """
     spark = prepare(df.sparkSession).sparkContext
     held = spark.broadcast(model)
@@ -258,10 +294,7 @@ def identify(df: DataFrame, model: Crf) -> DataFrame:
         ids, table, letter = _emit_of(model, name)(words)
         counts = np.array([len(w) for w in words], np.int64)
         if len(ids):
-            ends = np.cumsum(counts)
-            starts = [np.arange(e - n, e, UNIT) for e, n in zip(ends, counts, strict=True)]
-            lengths = [np.minimum(UNIT, e - s) for s, e in zip(starts, ends, strict=True)]
-            post = forward_backward(table[ids], np.concatenate(starts), np.concatenate(lengths), model.move, model.begin)
+            post = posteriors(table[ids], counts, model.move, model.begin)
             real = letter[ids]
             best = post.argmax(1)
             owner = np.repeat(np.arange(len(texts)), counts)
@@ -304,8 +337,7 @@ def word_labels(text: str, model: Crf) -> list[tuple[str, str, float]]:
         return []
     score = model.emissions([w.lower() for w in words])
     emit = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0))
-    starts = np.arange(0, len(words), UNIT)
-    post = forward_backward(emit, starts, np.minimum(UNIT, len(words) - starts), model.move, model.begin)
+    post = posteriors(emit, np.array([len(words)]), model.move, model.begin)
     return [(w, model.labels[k], float(p[k])) for w, p, k in zip(words, post, post.argmax(1), strict=True)]
 
 

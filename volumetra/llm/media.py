@@ -290,7 +290,8 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
             across = -(-d["width"] // (8 if one else 8 * hs))
             h, v = (1, 1) if one else parts[0][1:3]
             grid = mine[:, : h * v].reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
-            grid = grid[: -(-d["height"] * (1 if one else v) // (8 if one else vs)), : -(-d["width"] * (1 if one else h) // (8 if one else hs))] if one else grid
+            rows, columns = (d["height"], d["width"]) if one else (-(-d["height"] * v // vs), -(-d["width"] * h // hs))  # of the component
+            grid = grid[: -(-rows // 8), : -(-columns // 8)]
             q = int(d["quant"][parts[0][3]][0])
             out[i][f] = (d["width"], d["height"], np.clip(grid.astype(np.int64) * q // 8 + 128, 0, 255).astype(np.uint8))
     return out

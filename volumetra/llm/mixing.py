@@ -118,8 +118,8 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     of all rows costs no more); the driver sees one row per pattern. Flow fixes how many words
     each pattern gives to each source and at which repetition. Within a pattern documents come
     in the order of a seeded hash, each taken if it still fits: a pass ends at the first that does not, and the next goes on
-    behind it over those no larger than the gap. So the error stays under the smallest of those left over (rows with
-    one doc_id count as one). Reruns agree, whatever the partitioning.
+    behind it over those no larger than the gap. So the error stays under the smallest of those left over (rows that repeat
+    doc_id and text count as one; a null doc_id is a value like any other). Reruns agree, whatever the partitioning.
 
     Null or empty text has size 0 and is taken once wherever its whole pattern is. A null source, or an empty
     array, counts as one source named null, last in order. Equal rows get equal answers. An empty table gives an empty result.
@@ -127,7 +127,7 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     kind = df.schema[membership].dataType
     names = F.array_sort(F.array_distinct(F.col(membership))) if isinstance(kind, T.ArrayType) else F.array(F.col(membership).cast("string"))
     names = F.when(F.size(F.coalesce(names, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(names)
-    base = df.withColumn("_size", word_count(F.col("text"))).withColumn("_names", names).withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 2))
+    base = df.withColumn("_size", word_count(F.col("text"))).withColumn("_names", names).withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 2))
     slim = cut(base.select("_names", "_size", "_u"))
     groups = sorted((list(r["_names"]), r["s"] or 0, r["n"]) for r in [x.asDict() for x in slim.groupBy("_names").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()] if not any(v is None for v in r["_names"]))
     nulls = [(list(r["_names"]), r["s"] or 0, r["n"]) for r in slim.where(F.exists("_names", lambda x: x.isNull())).groupBy("_names").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()]
@@ -187,7 +187,7 @@ def mix(df: DataFrame, membership: str = "source", weights: Sequence[float] = (5
     out = out.withColumn("_copies", F.col("_whole") + F.when(extra, 1).otherwise(0))
     # which source a copy counts for: sources of the pattern in proportion to their flow, by the same hash
     total = F.aggregate("_shares", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    spot = lambda i: F.floor(total * (F.pmod(F.xxhash64(F.lit(seed), F.lit("for"), i, F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))))
+    spot = lambda i: F.floor(total * (F.pmod(F.xxhash64(F.lit(seed), F.lit("for"), i, F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))))
     chosen = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_copies"), F.lit(1))), lambda i: F.aggregate("_shares", F.struct(spot(i).alias("left"), F.lit(None).cast("string").alias("s")), lambda a, x: F.when(a["left"] < 0, a).when(a["left"] < x["words"], F.struct(F.lit(-1).cast("long").alias("left"), x["source"].alias("s"))).otherwise(F.struct((a["left"] - x["words"]).alias("left"), a["s"].alias("s"))))["s"])
     out = out.withColumn("_for", F.when(F.col("_copies") > 0, chosen).otherwise(F.array().cast("array<string>")))
     return out.drop("_names", "_u", "_key", "_whole", "_rest", "_shares", "_spans")

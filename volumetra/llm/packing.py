@@ -29,7 +29,7 @@ def default_tokenizer() -> str:
 
 
 def _load(path: str):
-    """The tokenizer and, if it cuts letters, digits and marks apart and ends each piece in a token of its own, which ids are such ends."""
+    """The tokenizer and, if it lower-cases, cuts letters, digits and marks apart and ends each piece in a token of its own, which ids are such ends."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only spin
     from tokenizers import Tokenizer
 
@@ -39,6 +39,9 @@ def _load(path: str):
     suffix = said["model"].get("end_of_word_suffix")
     if not suffix or APART not in json.dumps(said.get("pre_tokenizer")):
         return tokenizer, None
+    letters = [chr(i) for i in range(256) if chr(i).isalpha()]
+    if _encode(tokenizer, letters) != _encode(tokenizer, [x.lower() for x in letters]):
+        return tokenizer, None
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -214,7 +217,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 def pack(cuts: DataFrame, capacity: int = LENGTH) -> DataFrame:
     """Best-fit decreasing over all pieces at once; adds sequence_id and offset.
 
-    cuts: doc_id, piece, length (1 to capacity) and any other columns. Pieces get a rank among those
+    cuts: doc_id, piece, length (1 to capacity) and any other columns but those of the result and _b, _n, _before, _rank. Pieces get a rank among those
     of their length from counts per (length, hash bucket), with no task that sees all of
     a length. Best fit needs only how many pieces there are of each length, so the driver holds at most
     `capacity` counts, and the broadcast runs are bounded by the number of lengths, whatever the corpus. Equal rows
@@ -223,7 +226,8 @@ def pack(cuts: DataFrame, capacity: int = LENGTH) -> DataFrame:
     spark = cuts.sparkSession
     cuts = cut(cuts)
     buckets = max(1, cuts.count() // 20_000)
-    cuts = cuts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = [c for c, t in cuts.dtypes if c in ("doc_id", "piece", "start") or c == "ids_crc32"]  # rows without a doc_id are spread too
+    cuts = cuts.withColumn("_b", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
     cells = cuts.groupBy("length", "_b").count()
     counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("count")).collect()}
     runs, _ = best_fit(counts, capacity)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, prepare
+from .common import components, cut, hot_join, prepare
 
 WORDS = 3
 SEED = 42
@@ -144,14 +144,16 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links).
 
-    df: doc_id (integer), text. Null text has no words and fingerprint zero, linked like any other. Rows
+    df: doc_id (integer), text; other columns are ignored. Null text has no words and fingerprint zero, linked like any other. Rows
     with one fingerprint are one class from the start, counted map-side, so a text that fills a third of the table is
-    one print. Equal rows stay separate rows of one component; a null doc_id gets the component of its
-    print. An empty table gives an empty result.
+    one print. Equal rows, and different texts under one doc_id, stay separate rows of their components. A null doc_id is linked like any
+    other but is no component's smallest, unless all are null. An empty table gives an empty result.
     """
     prepare(df.sparkSession)
     each = cut(fingerprints(df))
-    prints = cut(each.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
-    joined = components(links(prints.where("rep is not null")))
-    classes = prints.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return each.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = cut(each.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.count("*").alias("n")))
+    joined = components(links(prints.select("fp", F.col("fp").alias("rep"))))
+    classes = prints.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("class"))
+    lowest = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    table = hot_join(classes, lowest, "class", "prints").select("fp", "n", "component_id")
+    return hot_join(each, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
