@@ -206,6 +206,37 @@ def test_merged_transforms():
     assert [g.tolist() for g in got] == [[p for p in range(len(t) - 7) if seen[t[p : p + 8]] > 1] for t in texts]
 
 
+def test_merging_gives_common_prefixes(monkeypatch):
+    rng = np.random.default_rng(7)
+    strings = [rng.integers(1, 3, n).tolist() for n in (30, 1, 17, 25, 9, 40)]
+    shards = [bwt.Shard(np.array([x for t in part for x in [*t, 0]], np.uint16), 64) for part in (strings[:2], strings[2:3], strings[3:])]
+    side, common = bwt.merge([x.transform for x in shards], 12)
+    assert np.bincount(side).tolist() == [33, 18, 77]
+    rows = sorted((t[i:], k) for k, t in enumerate(strings) for i in range(len(t) + 1))
+    for (x, _), (y, _), c in zip(rows, rows[1:], common[1:].tolist(), strict=False):
+        want = 0
+        while want < min(len(x), len(y), 12) and x[want] == y[want]:
+            want += 1
+        assert c == want
+    texts = [bytes(rng.integers(97, 100, 400, dtype=np.uint8)) for _ in range(6)]
+    texts += [texts[0][50:300] + b"!", texts[1][9:350]]
+    one = bwt.repeated_starts(texts, 40, 8)
+    monkeypatch.setattr(bwt, "SHARD", 64)
+    assert [x.tolist() for x in one] == [x.tolist() for x in bwt.repeated_starts(texts, 40, 8)]
+
+
+def test_many_texts_with_one_head(spark):
+    rng = random.Random(12)
+    head = "".join(rng.choice("abcdef ") for _ in range(170))
+    tails = ["".join(rng.choice("ghijkl ") for _ in range(rng.randint(25, 60))) for _ in range(2500)]
+    texts = [head + t for t in tails] + [head + t for t in tails[:40]] + [("x" * k + head + tails[k])[:260] for k in range(41, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = sorted((r[0], *w) for r, w in zip(rows, removed_by_brute_force([t.encode() for t in texts]), strict=True))
+    for hot in (200, bwt.HOT):
+        got = sorted(tuple(r) for r in bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot).collect())
+        assert got == want
+
+
 def test_simhash(spark, docs, empty):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,12 @@ GRAM = 16  # bytes of the grams whose least hash places a window
 STEP = 56  # windows that share a name at most
 SPAN = LENGTH - GRAM + 1  # grams in a window
 LOAD = 50_000  # bytes of snippets merged together, as far as whole groups allow
+SHARD = 1 << 14  # symbols of one shard's transform
+HOT = 20_000  # different runs under one name from which it is split into single windows
+SAMPLE = 32  # one text in so many is counted to find such names
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SALT = np.uint64(0x5851F42D4C957F2D)
 BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 PIECE = 1 << 14  # windows hashed at a time
 PLACE = np.uint64((1 << 15) - 1)  # low bits of a gram's hash that give way to its place
@@ -54,14 +59,14 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name every window of LENGTH bytes by the bytes around its least gram: (name, low, high, ends).
+    """Name every window of LENGTH bytes by the bytes around its least gram: (name, low, high, whole).
 
     A window's place is that of its leftmost gram of least hash. How far the gram lies from the window's start, in
     steps of STEP, says which bytes around it every such window has; their hash is the name. Windows low to high
-    share one gram and one name, high - low < STEP, and none of them equal each other. ends packs 32-bit hashes of
-    the first and last window. Equal windows have equal names wherever they are.
+    share one gram and one name, high - low < STEP, and none of them equal each other. whole hashes all bytes of the run, and how
+    many; with the name it makes 128 bits. Equal windows have equal names wherever they are.
     """
-    names, lows, highs, ends = [], [], [], []
+    names, lows, highs, wholes = [], [], [], []
     n = len(text) - LENGTH + 1
     codes = np.frombuffer(text, np.uint8)
     for a in range(0, max(0, n), PIECE):
@@ -84,13 +89,21 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         start, stop = g - STEPS[k], g - np.minimum(STEPS[k] + STEP, SPAN) + 1 + LENGTH
         whole = lambda p, q: _mix((sums[q] - sums[p]) * DOWN[p])
         names.append(_mix(whole(start, stop) + k.astype(np.uint64) * BASE))
-        ends.append((whole(low, low + LENGTH) >> np.uint64(32) << np.uint64(32)) | whole(high, high + LENGTH) >> np.uint64(32))
+        wholes.append(_mix(whole(low, high + LENGTH) + (high - low).astype(np.uint64) * BASE + SALT))
         lows.append(low + a)
         highs.append(high + a)
     if not names:
         none = np.empty(0, np.int64)
         return none, none, none, none
-    return np.concatenate(names).view(np.int64), np.concatenate(lows), np.concatenate(highs), np.concatenate(ends).view(np.int64)
+    return np.concatenate(names).view(np.int64), np.concatenate(lows), np.concatenate(highs), np.concatenate(wholes).view(np.int64)
+
+
+def single_windows(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of runs one by one: (name, place, whole), from 128 bits of a hash of all their bytes."""
+    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    digests = b"".join(xxhash.xxh3_128_digest(text[a : a + LENGTH]) for a in at.tolist())
+    both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return both[:, 0], at, both[:, 1]
 
 
 class Shard:
@@ -124,32 +137,45 @@ class Shard:
         self.transform = before[self.order]
 
 
-def merge(a: np.ndarray, b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave two transforms: (which side each row comes from, block of each row).
+def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave the transforms of shards: (which shard each row comes from, longest common prefix with the row before).
 
     Round k moves every row to the place of the suffix that starts one symbol earlier, stably by that symbol; after it
-    the interleave is sorted by the first k symbols, and a block holds the rows that agree in all of them, so a
-    boundary that appears in round k has a common prefix of k - 1. Rows in one block after `depth` rounds form the
-    repeated interval of that common prefix. No suffixes are compared.
+    the interleave is sorted by the first k symbols. Rows that have parted there get a boundary, and the round in which it appears says how
+    many symbols they have in common: k - 1. Rows that `depth` rounds leave together have `depth` or more. No suffixes are compared.
     """
-    side = np.concatenate([np.zeros(len(a), bool), np.ones(len(b), bool)])
+    side = np.repeat(np.arange(len(transforms)), [len(x) for x in transforms])
+    by_shard = np.concatenate(transforms)
+    starts = np.cumsum([0, *(len(x) for x in transforms)])
+    side = side.astype(np.uint16 if len(transforms) < 1 << 16 else np.int64)
     block = np.zeros(len(side), np.int32)
-    for _ in range(depth):
-        symbol = np.empty(len(side), a.dtype)
-        symbol[~side], symbol[side] = a, b
+    common = np.full(len(side), depth, np.int32)
+    common[:1] = 0
+    for k in range(1, depth + 1):
+        symbol = np.empty(len(side), by_shard.dtype)
+        order = np.argsort(side, kind="stable")  # rows of each shard, in their order
+        symbol[order] = by_shard
         order = np.argsort(symbol, kind="stable")
         symbol, block = symbol[order], block[order]
-        new = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) | (symbol[1:] == 0)
         side = side[order]
+        new = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) | (symbol[1:] == 0)
+        at = np.flatnonzero(new) + 1
+        parted = at[common[at] >= k]
+        common[parted] = k - 1
         block = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])
-    return side, block
+    return side, common
+
+
+def intervals(common: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the repeated interval of each row: neighbours with `depth` symbols in common are in one."""
+    return np.cumsum(common < depth) - 1
 
 
 def repeated_starts(snippets: list[bytes], length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
     """Per snippet the starts whose `length` bytes also start at another place of this collection.
 
     A snippet is read as `symbol` strings, one per phase, of symbols of that many bytes, so length / symbol rounds decide on
-    whole strings. The collection is cut into two shards, whose transforms are merged.
+    whole strings. The collection is cut into shards of some SHARD symbols, each with a transform of its own, and those are merged.
     """
     depth = length // symbol
     sizes = np.array([len(x) for x in snippets], np.int64)
@@ -171,17 +197,16 @@ def repeated_starts(snippets: list[bytes], length: int = LENGTH, symbol: int = S
     symbols = np.zeros(len(raw), np.uint16 if len(values) < 65_000 else np.int64)
     symbols[real] = codes + 1
     ends = np.flatnonzero(~real)
-    middle = int(ends[(len(ends) - 1) // 2]) + 1
-    left, right = Shard(symbols[:middle], depth), Shard(symbols[middle:], depth) if middle < len(symbols) else None
-    if right is None:
-        side, block = merge(left.transform, left.transform[:0], depth)
-        where = left.order
-    else:
-        side, block = merge(left.transform, right.transform, depth)
-        where = np.empty(len(side), np.int64)
-        where[~side], where[side] = left.order, right.order + middle
-    size = np.bincount(block)
-    hit = where[size[block] > 1]
+    cuts = [0]
+    while cuts[-1] < len(symbols):  # shards of whole strings
+        cuts.append(int(ends[min(len(ends) - 1, np.searchsorted(ends, cuts[-1] + SHARD))]) + 1)
+    shards = [Shard(symbols[x:y], depth) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    side, common = merge([x.transform for x in shards], depth)
+    where = np.empty(len(side), np.int64)
+    for i, (x, at) in enumerate(zip(shards, cuts, strict=False)):
+        where[side == i] = x.order + at
+    interval = intervals(common, depth)
+    hit = where[np.bincount(interval)[interval] > 1]
     hit = hit[owner[hit] >= 0]
     order = np.lexsort((place[hit], owner[hit]))
     hit = hit[order]
@@ -211,10 +236,25 @@ def _result(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, i
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-SEGMENTS = "key long, rid long, ends long, place long"  # place: low << 11 | kind << 9 | high - low
+SEGMENTS = "key long, rid long, whole long, place long"  # place: low << 11 | kind << 9 | high - low
 
 
-def remove_repeats(df: DataFrame) -> DataFrame:
+def hot_names(texts: DataFrame, least: int = HOT, sample: int = SAMPLE) -> np.ndarray:
+    """Names that are likely to have `least` different runs or more, sorted; the driver gets at most (all runs / least)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                found = [segments(t) for t in b.column(0).slice(i, 256).to_pylist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 3)], ["name", "whole"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(count, "name long, whole long")
+    many = some.distinct().groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") * sample >= least)
+    return np.array(sorted(r["name"] for r in many.collect()), np.int64)
+
+
+def remove_repeats(df: DataFrame, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a string of LENGTH bytes that also starts anywhere else.
 
     df: doc_id and text; returns doc_id, n_bytes, n_removed, n_spans and kept_sha256 per row. Texts are UTF-8 bytes, null is empty, matches
@@ -223,30 +263,39 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
     1. Every window of LENGTH bytes gets a name, a hash of some 150 bytes around its least gram: equal windows have equal names,
        and runs of some thirty windows share one. One row per run is shuffled by name, after each task has collapsed its own equal runs, so a
-       passage in a third of all rows costs a row per task. Runs whose name is alone are done. Runs whose first and last window
-       both recur are covered whole.
-    2. Only at the edges of repeats that does not decide; there the bytes of the run travel to the others of its name. Groups of
-       snippets are cut into shards; the shards' Burrows-Wheeler transforms are merged by interleave refinement, and the
-       blocks that still hold several suffixes after LENGTH bytes are the repeated intervals.
+       passage in a third of all rows costs a row per task. Runs whose name is alone are done. Runs that are equal as a whole, by 128 bits
+       of hashes, are covered whole.
+    2. What differs under one name is at the edges of repeats, and only its windows' bytes can say what recurs: one run of each kind
+       travels to the others of its name. Groups of snippets are cut into shards, each with its Burrows-Wheeler transform; these are merged by
+       interleave refinement, which gives the longest common prefixes, and intervals of LENGTH common bytes are the repeats.
+    3. A name of very many different runs (texts with one head and different tails, say) is found beforehand from a sample, by texts'
+       hash, and its windows are named one by one by all their bytes, so that they are spread over all tasks. Only the layout depends on it.
     """
     prepare(df.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     base = df.select("doc_id", text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = df.schema["doc_id"].dataType.simpleString()
 
+    loud = hot_names(base, hot)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for b in batches:
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name, low, high, ends = segments(t)
-                for p, x in zip(parts, (name, np.full(len(name), rid, np.int64), ends, low << 9 | (high - low)), strict=True):
+                name, low, high, whole = segments(t)
+                if len(loud) and len(name):
+                    on = loud[np.minimum(np.searchsorted(loud, name), len(loud) - 1)] == name
+                    if on.any():
+                        more = single_windows(t, low[on], high[on])
+                        name, low, high, whole = (np.concatenate([x[~on], y]) for x, y in zip((name, low, high, whole), (more[0], more[1], more[1], more[2]), strict=True))
+                for p, x in zip(parts, (name, np.full(len(name), rid, np.int64), whole, low << 9 | (high - low)), strict=True):
                     p.append(x)
         if not parts[0]:
             return
-        key, rid, ends, place = map(np.concatenate, parts)
-        order = np.lexsort((ends, key))
-        key, rid, ends, place = key[order], rid[order], ends[order], place[order]
-        same = (key[1:] == key[:-1]) & (ends[1:] == ends[:-1])
+        key, rid, whole, place = map(np.concatenate, parts)
+        order = np.lexsort((whole, key))
+        key, rid, whole, place = key[order], rid[order], whole[order], place[order]
+        same = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
         again = np.concatenate([[False], same])
         lead = ~again & np.concatenate([same, [False]])
         # 0: alone here; 1: here for its equals too; 2: one of those, decided
@@ -254,46 +303,30 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         route = np.where(again, rid * np.int64(0x2545F4914F6CDD1D) ^ place, key)
         for i in range(0, len(key), 200_000):
             s = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, rid, ends, place >> 9 << 11 | state.astype(np.int64) << 9 | place & 511)], ["key", "rid", "ends", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, rid, whole, place >> 9 << 11 | state.astype(np.int64) << 9 | place & 511)], ["key", "rid", "whole", "place"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rid, ends, place in _runs(batches, 0):
+        for key, rid, whole, place in _runs(batches, 0):
             state, place = place >> 9 & 3, place >> 11 << 9 | place & 511
-            done = np.flatnonzero(state == 2)
-            at = np.flatnonzero(state < 2)
-            at = at[np.argsort(key[at], kind="stable")]
-            k = key[at]
-            shared = np.zeros(len(k), bool)
-            shared[1:] = k[1:] == k[:-1]
-            shared[:-1] |= shared[1:]
-            shared |= state[at] == 1
-            at = at[shared]
-            twice = state[at] == 1
-            both = np.ones(len(at), bool)
-            for half in (ends[at] >> 32, ends[at] & 0xFFFFFFFF):
-                order = np.lexsort((half, key[at]))
-                kk, hh = key[at][order], half[order]
-                eq = np.zeros(len(at), bool)
-                eq[1:] = (kk[1:] == kk[:-1]) & (hh[1:] == hh[:-1])
-                eq[:-1] |= eq[1:]
-                rep = np.empty(len(at), bool)
-                rep[order] = eq
-                both &= rep
-            both |= twice
-            # names with an undecided run: one run of each kind of bytes must travel too, to be found
-            kk = key[at]
-            names, group = np.unique(kk, return_inverse=True)
-            asked = np.zeros(len(names), bool)
-            asked[group[~both]] = True
-            order = np.lexsort((place[at] & 255, ends[at], kk))
-            first = np.ones(len(at), bool)
-            x, y, z = kk[order], ends[at][order], (place[at] & 255)[order]
-            first[order[1:]] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
-            send = ~both | (asked[group] & first)
-            i = np.concatenate([done, at])
+            done, at = np.flatnonzero(state == 2), np.flatnonzero(state < 2)
+            at = at[np.lexsort((whole[at], key[at]))]
+            k, w = key[at], whole[at]
+            same_key = k[1:] == k[:-1]
+            same = same_key & (w[1:] == w[:-1])
+            first = ~np.concatenate([[False], same])  # one run of each kind
+            sure = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (state[at] == 1)
+            shared = np.concatenate([[False], same_key]) | np.concatenate([same_key, [False]]) | (state[at] == 1)
+            # names with an undecided run that has others: one run of each kind of bytes must travel, to be found
+            group = np.cumsum(~np.concatenate([[False], same_key])) - 1 if len(k) else np.empty(0, np.int64)
+            kinds = np.bincount(group[first], minlength=int(group[-1]) + 1 if len(group) else 0)
+            asked = np.zeros(len(kinds), bool)
+            asked[group[~sure & shared]] = True
+            send = shared & first & asked[group] & (kinds[group] > 1)
+            keep = shared & (sure | send)
+            i = np.concatenate([done, at[keep]])
             if len(i):
-                sure, send = np.concatenate([np.ones(len(done), bool), both]), np.concatenate([np.zeros(len(done), bool), send])
-                where = place[i] >> 9 << 10 | sure.astype(np.int64) << 9 | send.astype(np.int64) << 8 | place[i] & 255
+                yes, send = np.concatenate([np.ones(len(done), bool), sure[keep]]), np.concatenate([np.zeros(len(done), bool), send[keep]])
+                where = place[i] >> 9 << 10 | yes.astype(np.int64) << 9 | send.astype(np.int64) << 8 | place[i] & 255
                 yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(where), pa.array(np.where(send, key[i], 0))], ["rid", "place", "key"])
 
     sent = base.select("rid", "text").mapInArrow(local, SEGMENTS).repartition("key").sortWithinPartitions("key")
