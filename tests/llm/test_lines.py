@@ -83,6 +83,10 @@ def test_maximal_runs_longer_than_a_passage(spark):
     assert (got[3].n_removed, got[3].n_runs, got[3].kept_text) == (37, 2, "f")
 
 
+def test_null_text_beside_a_text_of_the_same_id(spark):
+    check(spark, [(1, "a\nb\nc"), (2, None), (2, "a\nb\nc\nd"), (None, None), (3, "a\nb\nc")])
+
+
 def test_very_long_text(spark):
     lines = [f"row {i % 16_000}" for i in range(32_000)]
     r = linededup.dedup(spark.createDataFrame([(1, "\n".join(lines)), (2, "x")], SCHEMA)).where("doc_id = 1").first()

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fresh, hot_join, prepare
+from .common import cut, fresh, hot_join, narrowed, prepare
 
 MIN_LINES = 3  # a run of so many lines is a passage
 MIN_WORDS = 50  # so is one of fewer lines with so many words
@@ -29,9 +30,15 @@ def lines(df: DataFrame, row: str, text: str = "text") -> DataFrame:
     return spread.select("row", "line", (F.col("n") - F.col("line")).alias("left"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit("line"), F.col("t"), F.length("t")).alias("b"), word_lengths("t").alias("words"))
 
 
-def _sorted(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Dealt out by ranges of (keys, row, line), so that one key's rows may fill several tasks, and sorted in each."""
+def _parts(table: DataFrame, rows: int | None) -> int:
+    """Tasks for a table of so many rows, as far as known."""
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n if rows is None else max(1, min(n, rows // 20_000))
+
+
+def _sorted(table: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Dealt out by ranges of (keys, row, line), so that one key's rows may fill several tasks, and sorted in each."""
+    n = _parts(table, rows)
     return cut(table.repartitionByRange(n, *keys, "row", "line").sortWithinPartitions(*keys, "row", "line"))
 
 
@@ -68,14 +75,14 @@ def _bounds(table: DataFrame, keys: list[str]) -> dict[int, tuple]:
     return out
 
 
-def _number(table: DataFrame, keys: list[str], h: int) -> DataFrame:
+def _number(table: DataFrame, keys: list[str], h: int, rows: int | None = None) -> DataFrame:
     """Refine ranks to those by h lines. table: row, line, left, keys; returns row, line, left, rank, open.
 
     A rank is the number of suffixes that are smaller. With keys (rank, next), suffixes of one rank are told apart by next: the new rank
     adds how many of the same rank have a smaller one. Other keys are ranked from 0. open: another suffix agrees in all
     keys, and h lines are there.
     """
-    table = _sorted(table, keys)
+    table = _sorted(table, keys, rows)
     begin = _bounds(table, keys)
     refine = keys[0] == "rank"
 
@@ -124,20 +131,22 @@ def suffix_array(table: DataFrame) -> tuple[DataFrame, dict[int, DataFrame]]:
     ranks = cut(ranks.join(ranks.where("open").select("row").distinct(), "row", "left_semi"))
     levels, h, names = {}, 1, ["row", "line", "left", "rank"]
     here, done = ranks.where("open").select(names), ranks.where("not open").select(names)
-    while not here.isEmpty():
+    many = here.count()
+    while many:
         levels[h] = here
-        ahead = here.unionByName(done).select("row", (F.col("line") - h).alias("line"), F.col("rank").alias("next"))
+        ahead = here.unionByName(done).coalesce(_parts(table, None)).select("row", (F.col("line") - h).alias("line"), F.col("rank").alias("next"))
         pairs = here.join(ahead, ["row", "line"], "left").select(*names, F.coalesce("next", F.lit(END).cast("long")).alias("next"))
-        ranks = _number(pairs, ["rank", "next"], 2 * h)
+        ranks = _number(pairs, ["rank", "next"], 2 * h, many)
         here, done = ranks.where("open").select(names), done.unionByName(ranks.where("not open").select(names))
+        many = here.count()
         h *= 2
-    return done.select("row", "line", "rank"), levels
+    return done.coalesce(_parts(table, None)).select("row", "line", "rank"), levels
 
 
-def neighbours(ranks: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+def neighbours(ranks: DataFrame, levels: dict[int, DataFrame], most: int | None = None) -> DataFrame:
     """The suffix array with longest common prefixes: row, line, at (place in the array), lcp with the suffix before, in lines.
 
-    ranks, levels: what suffix_array() gives. Only suffixes that share their first line are listed. Neighbours are compared by
+    ranks, levels: what suffix_array() gives. With `most`, prefixes are compared as far as that many lines; more may be reported. Only suffixes that share their first line are listed. Neighbours are compared by
     their ranks at falling powers of two: equal ranks by h lines, l lines on, make h more lines common.
     """
     spark = ranks.sparkSession
@@ -166,7 +175,8 @@ def neighbours(ranks: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
             at, last = at + len(row), (int(row[-1]), int(line[-1]), int(depth[-1]))
 
     out = table.mapInArrow(beside, "row long, line int, at long, prow long, pline int, depth int").withColumn("lcp", F.lit(0))
-    for k, h in enumerate(sorted(levels, reverse=True)):
+    steps = [h for h in sorted(levels, reverse=True) if most is None or h < 2 * most]
+    for k, h in enumerate(steps):
         level = levels[h]
         here = level.select(F.col("row"), (F.col("line") + 0).alias("l1"), F.col("rank").alias("r1"))
         there = level.select(F.col("row").alias("prow"), (F.col("line") + 0).alias("l2"), F.col("rank").alias("r2"))
@@ -195,7 +205,7 @@ def intervals(table: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     min_words words. An unbroken stretch of the suffix array in which neighbours have `size` lines in common is the interval of all
     occurrences of those lines. Longer runs are unions of such passages, so sizes up to min_lines are listed.
     """
-    array = neighbours(*suffix_array(table))
+    array = neighbours(*suffix_array(table), max(1, min_lines))
     have = F.col("words")
     array = array.join(table.select("row", "line", "left", "words"), ["row", "line"])
     fit = [F.lit(min_lines <= 1) | (have >= min_words)]
@@ -261,27 +271,45 @@ def dedup(df: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS)
     prepare(df.sparkSession)
     hash_, row, gone_, name = (fresh(df, x) for x in ("hash", "row", "gone", "key"))
     tag = df.withColumn(hash_, F.md5("text"))
-    parts = F.split(F.col("text"), "\n", -1)
-    slim = tag.where("text is not null").select(F.struct(F.col("doc_id"), F.col(hash_).alias("h")).alias("k"), F.size(parts).alias("n"), word_lengths(F.translate("text", "\n", " ")).alias("w"))
-    rows = cut(slim.groupBy("k").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.count("*").alias("times")))
-    heads = cut(rows.groupBy(F.col("k.h").alias("h")).agg(F.min("k").alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("w").alias("w"), F.max("times").alias("times")))
-    # first rows in order, by number
-    named = cut(heads.select("head").orderBy("head").select(F.col("head").alias(name), F.monotonically_increasing_id().alias(row)))
-    copies = rows.select(F.col("k.h").alias("h"), "k")
-    again = hot_join(copies, heads.where("copies > 1").drop("times"), "h", "copies").where((F.col("k") != F.col("head")) & ((F.col("n") >= min_lines) | (F.col("w") >= min_words)))
-    again = again.select(F.col("k").alias(name), F.sequence(F.lit(0), F.col("n") - 1).alias(gone_))
-    texts = tag.select(F.struct(F.col("doc_id"), F.col(hash_).alias("h")).alias(name), "text").join(named, name).select(row, "text")
-    if (heads.agg(F.max("times")).first()[0] or 0) > 1:  # of rows with the same doc_id and text, one
-        texts = texts.dropDuplicates([row])
+    rows = cut(tag.where("text is not null").groupBy(F.col("doc_id").alias("id"), F.col(hash_).alias("h")).agg(F.count("*").alias("times")))
+    total, ids, again = rows.agg(F.count("*"), F.countDistinct("id"), F.max("times")).first()
+    plain = total == ids and again == 1 and isinstance(df.schema["doc_id"].dataType, T.IntegralType)
+    key = F.struct("id", "h")
+    if plain:  # doc_id itself numbers the rows
+        key = F.col("id").cast("long")
+    heads = cut(rows.withColumn("k", key).groupBy("h").agg(F.min("k").alias("head"), F.count("*").alias("copies")))
+    later = cut(hot_join(rows.select("h", key.alias("k")), heads.where("copies > 1"), "h", "copies").where(F.col("k") != F.col("head")).select("k", "head"))
+    if plain:
+        texts = narrowed(df.where("text is not null").select(F.col("doc_id").cast("long").alias(row), "text"), later.select(F.col("k").alias(row)), row, "left_anti")
+        named = None
+    else:  # first rows in order, by number
+        named = cut(heads.select("head").orderBy("head").select("head", F.monotonically_increasing_id().alias(row)))
+        texts = tag.select(F.struct(F.col("doc_id").alias("id"), F.col(hash_).alias("h")).alias("head"), "text").join(named, "head").select(row, "text")
+        if (again or 0) > 1:  # of rows with the same doc_id and text, one
+            texts = texts.dropDuplicates([row])
     table = cut(lines(texts, row))
-    gone = repeats(table, min_lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias(gone_)).withColumnRenamed("row", row)
-    per = gone.join(named, row).select(name, gone_).unionByName(again).select(F.col(f"{name}.doc_id").alias(name), F.col(f"{name}.h").alias(hash_), gone_)
-    out = tag.join(per.withColumnRenamed(hash_, row), F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(hash_) == F.col(row)), "left")
+    gone = repeats(table, min_lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    # later copies of a text are one run from end to end, if that makes a passage
+    back = (lambda t: t.withColumnRenamed("row", "k")) if plain else (lambda t: t.join(named.withColumnRenamed(row, "row"), "row").drop("row").withColumnRenamed("head", "k"))
+    copied = later.groupBy("head").agg(F.count("*").alias("copies"))
+    size = back(table.groupBy("row").agg(F.max("left").alias("n"), F.sum("words").alias("w"))).withColumnRenamed("k", "head").where((F.col("n") >= min_lines) | (F.col("w") >= min_words))
+    whole = hot_join(later, copied.join(size, "head").select("head", "n", "copies"), "head", "copies").select("k", F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
+    per = cut(back(gone).select("k", "gone").unionByName(whole))
     none = F.array().cast("array<int>")
+    if plain:
+        per = per.select(F.col("k").alias(row), F.col("gone").alias(gone_))
+        wide = df.withColumn(row, F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long")))
+        hit = narrowed(wide, per.select(row), row).join(per, row)
+        miss = narrowed(wide, per.select(row), row, "left_anti").withColumn(gone_, F.lit(None).cast("array<int>"))
+        out = hit.select(*[F.col(f"`{c}`") for c in df.columns], gone_).unionByName(miss.select(*[F.col(f"`{c}`") for c in df.columns], gone_))
+    else:
+        per = per.select(F.col("k.id").alias(name), F.col("k.h").alias(row), F.col("gone").alias(gone_))
+        out = tag.join(per, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(hash_) == F.col(row)), "left").drop(hash_, row, name)
+    parts = F.split(F.col("text"), "\n", -1)
     # lines are split once and bound by a lambda: an expression inside one is run for each element
     left = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone_)), lambda i: F.element_at(p, i + 1)), "\n")), 1)
     kept = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(left)
     state = F.aggregate(F.coalesce(F.col(gone_), none), F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("at"), (s["n"] + F.when(x == s["at"] + 1, 0).otherwise(1)).alias("n")))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     added = {"kept_text": kept, "n_lines": count.cast("long"), "n_removed": F.size(F.coalesce(F.col(gone_), none)).cast("long"), "n_runs": state["n"].cast("long")}
-    return out.withColumns(added).drop(hash_, row, gone_, name)
+    return out.withColumns(added).drop(gone_)
