@@ -126,6 +126,14 @@ def bump(v, mean, sd):
     return np.exp(-((v - mean) ** 2) / (2 * sd * sd)) / (sd * np.sqrt(2 * np.pi))
 
 
+def region_masks(seg: np.ndarray, most: int | None = None) -> np.ndarray:
+    """(R, D, H, W): channels of a one-hot map (C, D, H, W) as they are, or one mask per distinct rounded label, background included; the first `most` of them."""
+    if seg.ndim == 4:
+        return seg > 0
+    whole = np.rint(seg)
+    return np.stack([whole == k for k in np.unique(whole)[:most]])
+
+
 def spread(v, on, shell, ddof=0):
     """How far a region differs from its shell, in units of their deviations, and its mean."""
     sd = lambda m: v[m].std(ddof=ddof) if m.sum() > ddof else 0.0

@@ -71,7 +71,7 @@ def acquire(v, factors):
     return resize(resize(v, small, nearest=True), v.shape, corners=True)
 
 
-@register("RandomLowResTransformGPU", "low_res", "GE")
+@register("RandomLowResTransformGPU", "low_res", "GE", sequential=True)
 @register("SimulateLowResolutionTransform", "low_res", "GE", exact=False)
 def low_resolution(img, seg, draw, scale=(0.3, 1)):
     """Down and up again, each axis by its own factor; labels stay."""

@@ -24,8 +24,8 @@ def region(new, old, seg, draw: Draw, c: int, in_seg: float = 0.0, out_seg: floa
     a, b = draw.chance(f"in.{c}", in_seg), draw.chance(f"out.{c}", out_seg)
     if seg is None or a == b:
         return new
-    on = seg > 0
-    if mix_in_out:
+    on = foreground(seg)
+    if mix_in_out and seg.ndim == 3:
         for k in np.unique(seg[on]):
             if draw.chance(f"class.{c}.{int(k)}", 0.5):
                 on &= seg != k
@@ -51,6 +51,36 @@ def each(img, seg, draw, f, apply_to_channel=(0,), retain_stats=False, mix_prob=
     return out, seg
 
 
+def foreground(seg: np.ndarray) -> np.ndarray:
+    """Voxels with a label: positive, or in any channel of a one-hot map (C, D, H, W)."""
+    return (seg > 0).any(0) if seg.ndim == 4 else seg > 0
+
+
+def minmax(v: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
+    """To [0, 1], and what brings it back."""
+    low, high = float(v.min()), float(v.max())
+    return (v - low) / max(high - low, 1e-6), (low, high)
+
+
+def from_minmax(v: np.ndarray, ends: tuple[float, float]) -> np.ndarray:
+    return v * (ends[1] - ends[0]) + ends[0]
+
+
+def masked_zscore(v: np.ndarray, least: float = 1e-6) -> np.ndarray:
+    """Z-score over the voxels that are not empty; the others stay."""
+    on = np.abs(v) > least
+    if not on.any():
+        return v
+    out = v.copy()
+    out[on] = (v[on] - v[on].mean()) / max(v[on].std(), 1e-8)
+    return out
+
+
+def is_zscore(v: np.ndarray, slack: float = 1e-3) -> bool:
+    """Whether values leave [0, 1]."""
+    return bool(v.min() < -slack or v.max() > 1 + slack)
+
+
 def unit(v: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (v - v.min()) / (v.max() - v.min() + eps)
 

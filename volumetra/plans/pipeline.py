@@ -41,7 +41,8 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Pipeline:
-    def __init__(self, config: Config | dict, backend: str = "GPU", seed: int = 0):
+    def __init__(self, config: Config | dict, backend: str = "GPU", seed: int = 0, context: dict | None = None):
+        self.context = context or {}
         self.config = config if isinstance(config, Config) else Config(config)
         self.backend, self.seed = backend, seed
         section = self.config.section(backend)
@@ -57,10 +58,14 @@ class Pipeline:
         return cls(Config.load(path), backend, seed)
 
     def order(self, key) -> list[tuple[str, dict]]:
-        """Steps for one key: geometry leads in the random modes, then the buckets, shuffled unless the mode keeps TA in order."""
+        """Steps for one key: geometry leads in the random modes, then the buckets, shuffled unless the mode keeps TA in order.
+
+        Operators that must not be shuffled run with the geometry where the enhancement bucket is shuffled, and keep their place elsewhere.
+        """
         if self.mode == "sequential":
             return self.steps
-        by = {g: [s for s in self.steps if registry.get(s[0]).group == g] for g in registry.GROUPS}
+        kind = lambda s: "GEO" if self.mode != "random_order_ta" and registry.get(s[0]).sequential else registry.get(s[0]).group
+        by = {g: [s for s in self.steps if kind(s) == g] for g in registry.GROUPS}
         if self.mode == "random_order_ta":
             return by["GEO"] + [s for s in self.steps if registry.get(s[0]).group != "GEO"]
         out, most = by["GEO"], self.config.pipeline.get("random_choose") or {}
@@ -77,10 +82,9 @@ class Pipeline:
             entry = registry.get(name)
             key = batch_id if shared or params.get("same_on_batch") else sample_id
             draw = Draw(self.seed, name, key)
-            if not draw.chance("p", params.get("p", 1.0)):
+            if not Draw(self.seed, name, batch_id).chance("p_batch", params.get("p_batch", 1.0)) or not draw.chance("p", params.get("p", 1.0)):
                 continue
-            kw = {k: v for k, v in params.items() if not k.startswith("_") and k not in registry.COMMON[entry.backend]}
-            new, labels = entry.apply(img, seg, draw, **kw)
+            new, labels = entry.apply(img, seg, draw, **entry.arguments(params, self.context))
             target = "image" if labels is seg else "image+labels"
             trace.append({"op": name, "target": target, "changed": new.shape != img.shape or not np.array_equal(new, img), "params": json.dumps({k: v for k, v in list(draw.log.items())[:8]}, default=float)})
             img, seg = new, labels

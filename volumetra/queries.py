@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from . import functions as A
 from .draws import normal, normal_sql, uniform, uniform_sql
+from .image import places
 
 SEED = 11
 SHAPE = (4, 4, 4)
@@ -330,6 +331,102 @@ def table_region_moments(spark, d):
     return t.groupBy("l_suppkey", F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 3).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 3).alias("sd"))
 
 
+def picked(places: list[int]) -> Callable[[SparkSession, str], DataFrame]:
+    """Voxels in another order, fixed when the plan is made."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        at = A.bind(F.array(*map(F.lit, places)), lambda p: A.bind(F.col("img"), lambda v: F.transform(p, lambda i: v[i])))
+        return out(volumes(spark, d).select("vec_id", F.posexplode(at).alias("pos", "v")))
+
+    return run
+
+
+# from LPI (x, y, z from left, back, below) to axes z, x, y with x turned round; slices from above
+QUERIES["change_orientation"] = picked(places(SHAPE, "LPI", "IRP"))
+ORACLES["change_orientation"] = f"{V}\nSELECT vec_id, y * 16 + (3 - x) * 4 + z AS pos, round(v, 5) + 0.0 AS v FROM v"
+QUERIES["slice_from_above"] = picked([p for k in (3, 2, 1, 0) for p in range(k * 16, k * 16 + 16)])
+ORACLES["slice_from_above"] = f"{V}\nSELECT vec_id, (3 - z) * 16 + y * 4 + x AS pos, round(v, 5) + 0.0 AS v FROM v"
+
+
+def _resampled(interpolation: str) -> None:
+    sizes = (6, 3, 8)  # x, y, z
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        def many(batches):
+            import pyarrow as pa
+
+            from .image import Image, resample
+
+            for b in batches:
+                flat = [resample(Image(x.reshape(SHAPE)), sizes, "vox", interpolation=interpolation).data.ravel() for x in b.column(1).flatten().to_numpy().reshape(-1, 64)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.float64()))], ["vec_id", "img"])
+
+        A.ship(spark)
+        done = volumes(spark, d).where(F.size("img") == 64).mapInArrow(many, "vec_id long, img array<double>")
+        return out(done.select("vec_id", F.posexplode("img").alias("pos", "v")))
+
+    near = [f"least(floor({c} * 4.0 / {n} + 0.5), 3)" for c, n in zip("xyz", sizes, strict=True)]
+    grid = f"g AS (SELECT z, y, x, (z * {sizes[1]} + y) * {sizes[0]} + x AS pos FROM (SELECT unnest(range({sizes[2]})) AS z) CROSS JOIN (SELECT unnest(range({sizes[1]})) AS y) CROSS JOIN (SELECT unnest(range({sizes[0]})) AS x))"
+    if interpolation == "nn":
+        sql = f"{V}, {grid}\nSELECT vec_id, g.pos::INTEGER AS pos, round(v, 5) + 0.0 AS v FROM g JOIN v ON v.x = {near[0].replace('x', 'g.x')} AND v.y = {near[1].replace('y', 'g.y')} AND v.z = {near[2].replace('z', 'g.z')}"
+    else:
+        weight = " * ".join(f"greatest(0, 1 - abs(least(g.{c} * 4.0 / {n}, 3) - v.{c}))" for c, n in zip("xyz", sizes, strict=True))
+        sql = f"{V}, {grid}\nSELECT vec_id, g.pos::INTEGER AS pos, round(sum(v * {weight}), 5) + 0.0 AS v FROM g CROSS JOIN v GROUP BY vec_id, g.pos"
+    QUERIES[f"resample_{interpolation}"], ORACLES[f"resample_{interpolation}"] = run, sql
+
+
+_resampled("nn")
+_resampled("linear")
+
+
+@query("least_voxel_type", f"""{V}, q AS (SELECT vec_id, floor(v * 1000) AS q FROM v), e AS (SELECT vec_id, min(q) AS lo, max(q) AS hi FROM q GROUP BY vec_id)
+SELECT vec_id, CASE WHEN lo >= 0 AND hi <= 255 THEN 'uint8' WHEN lo >= 0 THEN 'uint16' WHEN lo >= -128 AND hi <= 127 THEN 'int8' WHEN lo >= -32768 AND hi <= 32767 THEN 'int16' ELSE 'int32' END AS dtype FROM e""")
+def least_voxel_type(spark, d):
+    """The smallest integer type that holds every voxel."""
+    ends = volumes(spark, d).select("vec_id", F.transform("img", lambda x: F.floor(x * 1000)).alias("q")).select("vec_id", F.array_min("q").alias("lo"), F.array_max("q").alias("hi"))
+    fits = lambda low, high: (F.col("lo") >= low) & (F.col("hi") <= high)
+    kind = F.when(fits(0, 255), "uint8").when(F.col("lo") >= 0, "uint16").when(fits(-128, 127), "int8").when(fits(-32768, 32767), "int16").otherwise("int32")
+    return ends.select("vec_id", kind.alias("dtype"))
+
+
+@query("masked_zscore", f"{V}, e AS (SELECT vec_id, avg(v) AS em, stddev_pop(v) AS es FROM v WHERE abs(v) > 0.05 GROUP BY vec_id)\nSELECT vec_id, pos, round(CASE WHEN abs(v) > 0.05 THEN (v - em) / greatest(es, 1e-8) ELSE v END, 5) + 0.0 AS v FROM v LEFT JOIN e USING (vec_id)")
+def masked_zscore(spark, d):
+    """Z-score over the voxels that are not empty; the others stay."""
+    df = long(spark, d)
+    e = df.where("abs(v) > 0.05").groupBy("vec_id").agg(F.avg("v").alias("em"), F.stddev_pop("v").alias("es"))
+    new = F.when(F.abs("v") > 0.05, (F.col("v") - F.col("em")) / F.greatest("es", F.lit(1e-8))).otherwise(F.col("v"))
+    return out(df.join(e, "vec_id", "left"), "vec_id", "pos", new.alias("v"))
+
+
+@query("nonfinite_verdict", f"""{V}, b AS (SELECT vec_id // 10 AS batch_id, count(*) AS n, count(*) FILTER (WHERE NOT isfinite(ln(v))) AS bad FROM v GROUP BY ALL)
+SELECT batch_id, n, bad, CASE WHEN bad = 0 THEN 'clean' WHEN bad = n THEN 'lost' ELSE 'partial' END AS verdict FROM b""".replace("NOT isfinite(ln(v))", "v <= 0"))
+def nonfinite_verdict(spark, d):
+    """How many results of a batch are not finite, here of a logarithm, and what that makes of it."""
+    x = F.log("v")
+    bad = F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    b = long(spark, d).groupBy(F.floor(F.col("vec_id") / 10).alias("batch_id")).agg(F.count("*").alias("n"), bad.alias("bad"))
+    return b.withColumn("verdict", F.when(F.col("bad") == 0, "clean").when(F.col("bad") == F.col("n"), "lost").otherwise("partial"))
+
+
+@query("batch_mean_loss", f"""{V}, l AS (SELECT vec_id, avg(pow(v - 0.1, 2)) AS loss FROM v WHERE v > 0.3 GROUP BY vec_id)
+SELECT b.batch_id, count(loss) AS n, coalesce(round(avg(loss), 7), 'nan'::DOUBLE) AS mean FROM (SELECT DISTINCT vec_id, vec_id // 5 AS batch_id FROM v) b LEFT JOIN l USING (vec_id) GROUP BY b.batch_id""")
+def batch_mean_loss(spark, d):
+    """Mean over the losses of a batch; NaN where it has none."""
+    df = long(spark, d)
+    loss = df.where("v > 0.3").groupBy("vec_id").agg(F.avg(F.pow(F.col("v") - 0.1, F.lit(2))).alias("loss"))
+    ids = volumes(spark, d).select("vec_id", F.floor(F.col("vec_id") / 5).alias("batch_id"))
+    return ids.join(loss, "vec_id", "left").groupBy("batch_id").agg(F.count("loss").alias("n"), F.coalesce(F.round(F.avg("loss"), 7), F.lit(float("nan"))).alias("mean"))
+
+
+@query("region_masks", f"{V}, k AS (SELECT DISTINCT vec_id // 10 AS batch_id, {OCTANT} AS label FROM v WHERE v > 0), r AS (SELECT batch_id, label, row_number() OVER (PARTITION BY batch_id ORDER BY label) AS n FROM k)\nSELECT v.vec_id, r.label, count(*) FILTER (WHERE {OCTANT} = r.label) AS voxels FROM v JOIN r ON r.batch_id = v.vec_id // 10 AND r.n <= 5 GROUP BY v.vec_id, r.label".replace(f"WHERE {OCTANT} = r.label", f"WHERE {OCTANT} = r.label AND v.v > 0"))
+def region_masks(spark, d):
+    """Size of the mask of each label that occurs in a sample's batch, the five smallest labels of it."""
+    df = long(spark, d).where("v > 0").select("vec_id", F.floor(F.col("vec_id") / 10).alias("batch_id"), octant().alias("label"))
+    labels = df.groupBy("batch_id").agg(F.slice(F.array_sort(F.collect_set("label")), 1, 5).alias("labels"))
+    ids = volumes(spark, d).select("vec_id", F.floor(F.col("vec_id") / 10).alias("batch_id")).join(labels, "batch_id")
+    sizes = df.groupBy("vec_id", "label").agg(F.count("*").alias("n"))
+    return ids.select("vec_id", F.explode("labels").alias("label")).join(sizes, ["vec_id", "label"], "left").select("vec_id", "label", F.coalesce("n", F.lit(0)).alias("voxels"))
+
+
 def as_volumes(spark: SparkSession, d: str) -> DataFrame:
     """The table a pipeline takes, ten samples to a batch."""
     seg = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: (F.floor(p / 32) * 4 + F.floor(p / 8) % 2 * 2 + F.floor(p / 2) % 2).cast("int"))

@@ -55,9 +55,29 @@ class Entry:
     exact: bool = True  # False: an external algorithm, re-expressed from its description
     params: dict = field(default_factory=dict)
     required: frozenset = frozenset()
+    context: frozenset = frozenset()  # parameters that the pipeline fills in, not the configuration
+    adapters: dict = field(default_factory=dict)  # parameter -> function of its configured value
+    sequential: bool = False  # never shuffled into the enhancement bucket: runs with the geometry where there is one
 
     def accepted(self) -> set[str]:
-        return set(self.params) | set(COMMON[self.backend]) | set(self.required)
+        return (set(self.params) | set(COMMON[self.backend]) | set(self.required)) - self.context
+
+    def problem(self, name: str) -> str | None:
+        """What is wrong with a parameter of that name, with near names."""
+        if name in self.accepted():
+            return None
+        if name in self.context:
+            return f"{self.name}: {name} is filled in by the pipeline"
+        near = difflib.get_close_matches(name, sorted(self.accepted()), 3, 0.5)
+        return f"{self.name}: unknown parameter {name!r}" + (f"; did you mean {', '.join(near)}?" if near else "")
+
+    def arguments(self, params: dict, context: dict | None = None) -> dict:
+        """Arguments of apply() from configured parameters and the pipeline's context."""
+        out = {k: self.adapters.get(k, lambda x: x)(v) for k, v in params.items() if not k.startswith("_") and k not in COMMON[self.backend]}
+        missing = self.context - set(context or {})
+        if missing:
+            raise ValueError(f"{self.name} needs {', '.join(sorted(missing))} from the pipeline")
+        return out | {k: context[k] for k in self.context}
 
     def defaults(self) -> dict:
         return COMMON[self.backend] | self.params
@@ -66,7 +86,7 @@ class Entry:
 _entries: dict[str, Entry] = {}
 
 
-def register(name: str, concept: str, group: str, *, defaults: dict | None = None, exact: bool = True):
+def register(name: str, concept: str, group: str, *, defaults: dict | None = None, exact: bool = True, context: tuple = (), adapters: dict | None = None, sequential: bool = False):
     """Register apply(img, seg, draw, **params) -> (img, seg). img is (C, D, H, W), seg (D, H, W) or None.
 
     Parameters are read from the signature; `defaults` overrides them, so one function serves several names.
@@ -83,7 +103,7 @@ def register(name: str, concept: str, group: str, *, defaults: dict | None = Non
         found = list(inspect.signature(f).parameters.values())[3:]
         params = {q.name: q.default for q in found if q.default is not q.empty and not q.name.startswith("_")}
         needed = frozenset(q.name for q in found if q.default is q.empty)
-        _entries[name] = Entry(name, f, backend, concept, group, exact, params | (defaults or {}), needed)
+        _entries[name] = Entry(name, f, backend, concept, group, exact, params | (defaults or {}), needed - set(context), frozenset(context), dict(adapters or {}), sequential)
         return f
 
     return add
@@ -97,6 +117,18 @@ def extend_order(name: str, backend: str = "GPU", before: str | None = None) ->
         PIPELINE_ORDER[backend] = tuple(order)
 
 
+def register_entry(name: str, apply: Callable, concept: str, group: str, *, backend: str = "GPU", before: str | None = None, **how) -> Entry:
+    """Register a function of another library under a name of its own, and give it a place in the order."""
+    extend_order(name, backend, before)
+    register(name, concept, group, exact=how.pop("exact", False), **how)(apply)
+    return _entries[name]
+
+
+def names(backend: str | None = None) -> list[str]:
+    """Registered names, in pipeline order."""
+    return [e.name for e in entries(backend)]
+
+
 def _load() -> None:
     from .operators import clusters, generative, geometry, intensity, stencils  # noqa: F401
 

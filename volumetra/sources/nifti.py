@@ -97,3 +97,51 @@ def manifest(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, Dat
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select(F.regexp_replace("path", "^file:/*", "/").alias("f"))
     found = pairs.join(there.withColumnRenamed("f", "image"), "image", "left_semi").join(there.withColumnRenamed("f", "label"), "label", "left_semi").select("image", "label")
     return found, pairs.join(found, ["image", "label"], "left_anti")
+
+
+def write(df: DataFrame, folder: str, name: str = "path", compress: bool = True) -> DataFrame:
+    """Write one file per row into a folder; returns (path, bytes) of what is written. Files are written when that table is read; again is the same.
+
+    df: `name` (file name, without a suffix), shape array<int> (z, y, x), img, and if there are any affine array<double> and dtype. Rows of
+    one name overwrite each other. A task writes to a hidden name first and renames, so a lost task leaves no half file.
+    """
+    from ..functions import ship
+
+    spark = df.sparkSession
+    ship(spark)
+    suffix = ".nii.gz" if compress else ".nii"
+    cols = [F.col(name).alias("name"), "shape", F.col("img").cast("array<double>").alias("img"), F.col("affine") if "affine" in df.columns else F.lit(None).cast("array<double>").alias("affine"), F.col("dtype") if "dtype" in df.columns else F.lit("float32").alias("dtype")]
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        made = set()
+        for b in batches:
+            for i in range(b.num_rows):
+                key, shape, affine, dtype = (b.column(c)[i].as_py() for c in ("name", "shape", "affine", "dtype"))
+                v = b.column("img")[i].values.to_numpy(zero_copy_only=False).reshape(shape)
+                v = (np.round(v) if np.dtype(dtype).kind in "iu" else v).astype(dtype)
+                data, target = encode(v, affine, compress), f"{root}/{key}{suffix}"
+                parent, last = target.rsplit("/", 1)
+                part = f"{parent}/.{last}.part"
+                if parent not in made:
+                    where.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with where.open_output_stream(part) as f:
+                    f.write(data)
+                where.move(part, target)
+                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([len(data)], pa.int64())], ["path", "bytes"])
+
+    return df.select(*cols).mapInArrow(files, "path string, bytes long")
+
+
+def write_pairs(volumes: DataFrame, folder: str) -> DataFrame:
+    """Image and label files of a table of volumes, channel by channel: images/<sample>_<channel> and labels/<sample>."""
+    flat = volumes.where("img is not null").select("sample_id", "shape", "img", "seg")
+    size = F.col("shape.d") * F.col("shape.h") * F.col("shape.w")
+    shape = F.array("shape.d", "shape.h", "shape.w").alias("shape")
+    images = flat.select("sample_id", "shape", "img", F.explode(F.sequence(F.lit(0), F.col("shape.c") - 1)).alias("c"))
+    images = images.select(F.concat(F.lit("images/"), F.col("sample_id").cast("string"), F.lit("_"), F.lpad(F.col("c").cast("string"), 4, "0")).alias("path"), shape, F.slice("img", (F.col("c") * size + 1).cast("int"), size.cast("int")).cast("array<double>").alias("img"), F.lit("float32").alias("dtype"))
+    labels = flat.where("seg is not null").select(F.concat(F.lit("labels/"), F.col("sample_id").cast("string")).alias("path"), shape, F.col("seg").cast("array<double>").alias("img"), F.lit("int32").alias("dtype"))
+    return write(images.unionByName(labels), folder)
