@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -79,6 +79,19 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, most: int
     return is_loud.unionByName(rows.join(F.broadcast(some), key, "left_anti").join(quiet, key))
 
 
+def word_count(text: Column) -> Column:
+    """Number of maximal runs of other characters than space and \\x09-\\x0D; null has none.
+
+    Where words are parted by single blanks, as in most texts, blanks are counted; only other texts are split.
+    """
+    t = text.cast("string")
+    for blank in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    plain = (t != "") & ~t.startswith(" ") & ~t.endswith(" ") & ~t.contains("  ")
+    fast = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1
+    return F.when(text.isNull(), 0).when(plain, fast).otherwise(F.size(F.array_remove(F.split(t, " "), ""))).cast("long")
+
+
 SMALL = 1_000_000  # rows of one long column that may be broadcast
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +19,37 @@ MIN_WORDS = 50  # so is one of fewer lines with so many words
 END = -1  # rank of what follows the last line: the smallest, and equal in all texts
 
 
-def word_lengths(lines):
-    """Words (runs of other characters than space and \\x09-\\x0D) of a column."""
-    return F.size(F.array_remove(F.split(F.translate(lines, "\t\x0b\x0c\r", "    "), " "), ""))
+LINES = "row long, line int, left int, a long, b long, words int, need int"
 
 
-def lines(df: DataFrame, row: str, text: str = "text") -> DataFrame:
-    """Line table (row, line, left, a, b, words): left counts lines to the end, this one too; two 64-bit hashes are the line's id. Null texts have no lines."""
-    parts = df.where(F.col(text).isNotNull()).select(F.col(row).alias("row"), F.split(F.col(text), "\n", -1).alias("parts"))
-    spread = parts.select("row", F.size("parts").alias("n"), F.posexplode("parts").alias("line", "t"))
-    return spread.select("row", "line", (F.col("n") - F.col("line")).alias("left"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit("line"), F.col("t"), F.length("t")).alias("b"), word_lengths("t").alias("words"))
+def lines(df: DataFrame, row: str, text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Line table. left counts lines to the end, this one too; a and b are 128 bits of a hash of the line; words counts runs of other
+    characters than white space; need is how many lines from here on make a passage: those that reach min_words words, and min_lines at
+    most (null if the text ends before). Null texts have no lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                texts = [t.split(b"\n") for t in part.column(1).to_pylist()]
+                sizes = np.array([len(t) for t in texts])
+                flat = [x for t in texts for x in t]
+                ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), np.int64).reshape(-1, 2)
+                words = np.array([len(x.split()) for x in flat], np.int64)
+                line = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                left = np.repeat(sizes, sizes) - line
+                need, have = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+                for k in range(max(1, min_lines)):
+                    have[: len(flat) - k] += np.where(left[: len(flat) - k] > k, words[k:], 0)
+                    need[(need == 0) & (left > k) & ((have >= min_words) | (k + 1 >= min_lines))] = k + 1
+                    if len(flat) <= k + 1:
+                        break
+                rows = np.repeat(part.column(0).to_numpy(), sizes)
+                small = [pa.array(x.astype(np.int32)) for x in (line, left)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *small, pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(words.astype(np.int32)), pa.array(need.astype(np.int32), mask=need == 0)], [c.split()[0] for c in LINES.split(", ")])
+
+    prepare(df.sparkSession)
+    return df.where(F.col(text).isNotNull()).select(F.col(row).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, LINES)
 
 
 def _parts(table: DataFrame, rows: int | None) -> int:
@@ -143,10 +165,10 @@ def suffix_array(table: DataFrame) -> tuple[DataFrame, dict[int, DataFrame]]:
     return done.coalesce(_parts(table, None)).select("row", "line", "rank"), levels
 
 
-def neighbours(ranks: DataFrame, levels: dict[int, DataFrame], most: int | None = None) -> DataFrame:
+def neighbours(ranks: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
     """The suffix array with longest common prefixes: row, line, at (place in the array), lcp with the suffix before, in lines.
 
-    ranks, levels: what suffix_array() gives. With `most`, prefixes are compared as far as that many lines; more may be reported. Only suffixes that share their first line are listed. Neighbours are compared by
+    ranks, levels: what suffix_array() gives. Only suffixes that share their first line are listed. Neighbours are compared by
     their ranks at falling powers of two: equal ranks by h lines, l lines on, make h more lines common.
     """
     spark = ranks.sparkSession
@@ -175,8 +197,7 @@ def neighbours(ranks: DataFrame, levels: dict[int, DataFrame], most: int | None
             at, last = at + len(row), (int(row[-1]), int(line[-1]), int(depth[-1]))
 
     out = table.mapInArrow(beside, "row long, line int, at long, prow long, pline int, depth int").withColumn("lcp", F.lit(0))
-    steps = [h for h in sorted(levels, reverse=True) if most is None or h < 2 * most]
-    for k, h in enumerate(steps):
+    for k, h in enumerate(sorted(levels, reverse=True)):
         level = levels[h]
         here = level.select(F.col("row"), (F.col("line") + 0).alias("l1"), F.col("rank").alias("r1"))
         there = level.select(F.col("row").alias("prow"), (F.col("line") + 0).alias("l2"), F.col("rank").alias("r2"))
@@ -198,58 +219,86 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([last[0]]), pa.array([last[1]], pa.int32()), pa.array([last[2]], pa.int32())], ["part", "n", "row", "line", "depth"])
 
 
-def intervals(table: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def intervals(table: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Occurrences of repeated passages: row, line, size (in lines), interval (its number among those of that size).
 
-    table: the result of lines(), with at most one row per (row, line). A passage is a run of min_lines lines, or of fewer with
-    min_words words. An unbroken stretch of the suffix array in which neighbours have `size` lines in common is the interval of all
-    occurrences of those lines. Longer runs are unions of such passages, so sizes up to min_lines are listed.
+    table: the result of lines() for that min_lines, with at most one row per (row, line). An unbroken stretch of the suffix array in which
+    neighbours have `size` lines in common is the interval of all occurrences of those lines. Whether they have says the rank by
+    the greatest power of two that is no more than `size`, here and at the end of the run: two blocks that cover it. Longer runs are
+    unions of such passages, so sizes up to min_lines are listed.
     """
-    array = neighbours(*suffix_array(table), max(1, min_lines))
-    have = F.col("words")
-    array = array.join(table.select("row", "line", "left", "words"), ["row", "line"])
-    fit = [F.lit(min_lines <= 1) | (have >= min_words)]
-    for k in range(1, min_lines):
-        array = array.join(table.select("row", (F.col("line") - k).alias("line"), F.col("words").alias(f"w{k}")), ["row", "line"], "left")
-        have = have + F.coalesce(f"w{k}", F.lit(0))
-        fit.append((F.col("left") > k) & ((have >= min_words) | F.lit(k + 1 >= min_lines)))
-    array = array.select("row", "line", "at", "lcp", F.array(*fit).alias("fit"))
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    array = cut(array.repartitionByRange(n, "at").sortWithinPartitions("at"))
-    sizes = np.arange(1, max(1, min_lines) + 1)
-
-    def breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many suffixes start an interval of each size, per partition."""
-        total = np.zeros(len(sizes), np.int64)
+    ranks, levels = suffix_array(table)
+    spark = table.sparkSession
+    if not levels:
+        return spark.createDataFrame([], "row long, line int, size int, interval long")
+    sizes = [k for k in range(1, max(1, min_lines) + 1) if 1 << (k.bit_length() - 1) in levels]
+    array = levels[1].select("row", "line", F.col("rank").alias("h1_0")).join(ranks, ["row", "line"])
+    blocks = {}
+    for k in sizes:
+        h = 1 << (k.bit_length() - 1)
+        blocks[k] = (f"h{h}_0", f"h{h}_{k - h}")
+        for ahead in (0, k - h):
+            name = f"h{h}_{ahead}"
+            if name not in array.columns:
+                array = array.join(levels[h].select("row", (F.col("line") - ahead).alias("line"), F.col("rank").alias(name)), ["row", "line"], "left")
+    names = sorted({c for pair in blocks.values() for c in pair})
+    array = array.join(table.select("row", "line", "left", "need"), ["row", "line"])
+    array = _sorted(array.select("row", "line", "rank", "left", "need", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in names]), ["rank"], levels[1].count())
+
+    def common(b: pa.RecordBatch, before: list | None) -> tuple[np.ndarray, list]:
+        """Per row and size whether it opens an interval, and the last row's ranks."""
+        cols = {c: b.column(c).to_numpy() for c in names}
+        opens = []
+        for k in sizes:
+            new = np.zeros(b.num_rows, bool)
+            for c in blocks[k]:
+                x = cols[c]
+                new |= np.concatenate([[before is None or before[names.index(c)] != x[0]], x[1:] != x[:-1]]) | (x < 0)
+            opens.append(new)
+        return np.array(opens).T, [int(cols[c][-1]) for c in names]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows open an interval of each size, per partition, but for its first row, whose ranks are given."""
+        total, first, last = np.zeros(len(sizes), np.int64), None, None
         for b in batches:
-            total += (b.column("lcp").to_numpy()[:, None] < sizes).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()])], ["part", "n"])
-
-    counts, sums, total = {r["part"]: np.array(r["n"]) for r in array.mapInArrow(breaks, "part long, n array<long>").collect()}, {}, np.zeros(len(sizes), np.int64)
-    for part in sorted(counts):
-        sums[part], total = total, total + counts[part]
+            if b.num_rows:
+                first = first or [b.column(c)[0].as_py() for c in names]
+                opens, last = common(b, last or first)
+                total += opens.sum(0)
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()]), pa.array([first]), pa.array([last])], ["part", "n", "first", "last"])
+
+    begin, total, last = {}, np.zeros(len(sizes), np.int64), None
+    for r in sorted(array.mapInArrow(count, "part long, n array<long>, first array<long>, last array<long>").collect(), key=lambda r: r["part"]):
+        begin[r["part"]] = (total, last)
+        # the first row counts as opened by the one before, unless a missing rank has opened it already
+        at = dict(zip(names, r["first"], strict=True))
+        was = dict(zip(names, last, strict=True)) if last else None
+        extra = [int(was is None or any(was[c] != at[c] for c in blocks[k])) if all(at[c] >= 0 for c in blocks[k]) else 0 for k in sizes]
+        total, last = total + np.array(r["n"]) + np.array(extra), list(r["last"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = sums.get(TaskContext.get().partitionId(), np.zeros(len(sizes), np.int64))
+        have, last = begin.get(TaskContext.get().partitionId(), (np.zeros(len(sizes), np.int64), None))
         for b in batches:
             if not b.num_rows:
                 continue
-            number = before + np.cumsum(b.column("lcp").to_numpy()[:, None] < sizes, axis=0)
-            before = number[-1]
-            at, size = np.nonzero(b.column("fit").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            opens, last = common(b, last)
+            number = have + np.cumsum(opens, axis=0)
+            have = number[-1]
+            need, left = b.column("need").fill_null(1 << 30).to_numpy(), b.column("left").to_numpy()
+            at, k = np.nonzero((need[:, None] <= sizes) & (left[:, None] >= sizes))
             pick = [pa.array(b.column(c).to_numpy()[at]) for c in ("row", "line")]
-            yield pa.RecordBatch.from_arrays([*pick, pa.array((size + 1).astype(np.int32)), pa.array(number[at, size])], ["row", "line", "size", "interval"])
+            yield pa.RecordBatch.from_arrays([*pick, pa.array(np.array(sizes, np.int32)[k]), pa.array(number[at, k])], ["row", "line", "size", "interval"])
 
     return array.mapInArrow(name, "row long, line int, size int, interval long")
 
 
-def repeats(table: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(table: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Lines to delete: row, line. In each interval the first occurrence by (row, line) stays; the others are covered.
 
     The passages that start in a repeated run cover it, however long it is, so what goes is whole maximal repeated runs.
     """
-    found = intervals(table, min_lines, min_words).select("row", "line", "size", F.struct("size", "interval").alias("of"))
-    found = cut(found)
+    found = cut(intervals(table, min_lines).select("row", "line", "size", F.struct("size", "interval").alias("of")))
     groups = found.groupBy("of").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("first")).where("n > 1")
     later = hot_join(found, groups, "of", "n").where(F.struct("row", "line") > F.col("first"))
     return later.select("row", F.explode(F.sequence("line", F.col("line") + F.col("size") - 1)).alias("line")).distinct()
@@ -287,8 +336,8 @@ def dedup(df: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS)
         texts = tag.select(F.struct(F.col("doc_id").alias("id"), F.col(hash_).alias("h")).alias("head"), "text").join(named, "head").select(row, "text")
         if (again or 0) > 1:  # of rows with the same doc_id and text, one
             texts = texts.dropDuplicates([row])
-    table = cut(lines(texts, row))
-    gone = repeats(table, min_lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    table = cut(lines(texts, row, "text", min_lines, min_words))
+    gone = repeats(table, min_lines).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     # later copies of a text are one run from end to end, if that makes a passage
     back = (lambda t: t.withColumnRenamed("row", "k")) if plain else (lambda t: t.join(named.withColumnRenamed(row, "row"), "row").drop("row").withColumnRenamed("head", "k"))
     copied = later.groupBy("head").agg(F.count("*").alias("copies"))

@@ -5,21 +5,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
-
-BLANKS = "\t\n\x0b\x0c\r"
-
-
-def word_count(text: Column) -> Column:
-    """Number of maximal runs of other characters than space and \\x09-\\x0D; null has none."""
-    parts = F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " ")
-    return F.coalesce(F.size(F.array_remove(parts, "")), F.lit(0)).cast("long")
-
+from .common import cut, word_count
 
 def min_cost_flow(supply: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], copies: int = 2) -> list[dict[tuple[int, int], int]]:
     """Route capacity of patterns to quotas of sources, cheapest repetition first.
