@@ -225,6 +225,17 @@ def test_merging_gives_common_prefixes(monkeypatch):
     assert [x.tolist() for x in one] == [x.tolist() for x in bwt.repeated_starts(texts, 40, 8)]
 
 
+def test_tasks_with_nothing_to_decide(spark):
+    """Many partitions: some hold only runs that their task has decided."""
+    text = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(i, text if i % 2 else "") for i in range(12)]
+    for parts in (1, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.doc_id: r.n_removed for r in bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+        assert got == {i: len(t) for i, t in rows}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_many_texts_with_one_head(spark):
     rng = random.Random(12)
     head = "".join(rng.choice("abcdef ") for _ in range(170))

@@ -311,14 +311,16 @@ def remove_repeats(df: DataFrame, hot: int = HOT) -> DataFrame:
             done, at = np.flatnonzero(state == 2), np.flatnonzero(state < 2)
             at = at[np.lexsort((whole[at], key[at]))]
             k, w = key[at], whole[at]
-            same_key = k[1:] == k[:-1]
-            same = same_key & (w[1:] == w[:-1])
-            first = ~np.concatenate([[False], same])  # one run of each kind
-            sure = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (state[at] == 1)
-            shared = np.concatenate([[False], same_key]) | np.concatenate([same_key, [False]]) | (state[at] == 1)
+            # each compared with the one before, and the one after
+            same_key = np.concatenate([[False], k[1:] == k[:-1], [False]])
+            same = same_key & np.concatenate([[False], w[1:] == w[:-1], [False]])
+            same_key, next_key, same, next_same = same_key[: len(k)], same_key[1:][: len(k)], same[: len(k)], same[1:][: len(k)]
+            first = ~same  # one run of each kind
+            sure = same | next_same | (state[at] == 1)
+            shared = same_key | next_key | (state[at] == 1)
             # names with an undecided run that has others: one run of each kind of bytes must travel, to be found
-            group = np.cumsum(~np.concatenate([[False], same_key])) - 1 if len(k) else np.empty(0, np.int64)
-            kinds = np.bincount(group[first], minlength=int(group[-1]) + 1 if len(group) else 0)
+            group = np.cumsum(~same_key) - 1
+            kinds = np.bincount(group[first], minlength=1)
             asked = np.zeros(len(kinds), bool)
             asked[group[~sure & shared]] = True
             send = shared & first & asked[group] & (kinds[group] > 1)
