@@ -259,7 +259,7 @@ def remove_repeats(df: DataFrame, hot: int = HOT) -> DataFrame:
 
     df: doc_id and text; returns doc_id, n_bytes, n_removed, n_spans and kept_sha256 per row. Texts are UTF-8 bytes, null is empty, matches
     do not cross rows, overlaps count, and all is judged on the input. Rows that are equal are two places, so each covers the
-    other. doc_id may be null or repeated; extra columns are ignored.
+    other. doc_id may be null or repeated; extra columns, whatever their names, are ignored; an empty table gives an empty result.
 
     1. Every window of LENGTH bytes gets a name, a hash of some 150 bytes around its least gram: equal windows have equal names,
        and runs of some thirty windows share one. One row per run is shuffled by name, after each task has collapsed its own equal runs, so a

@@ -325,7 +325,8 @@ def _batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Rec
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Each whole text as a media column: doc_id, n_bytes, media (binary). Null text: no bytes, one row of zeros."""
+    """Each whole text as a media column: doc_id, n_bytes, media (binary). Null text: no bytes, one row of zeros. A null doc_id is kept, equal
+    rows are stored each for itself, other columns are dropped, an empty table gives an empty result."""
     prepare(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,8 @@ def pieces(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     """Ids of every whole text, then `end`, cut into pieces of `length`; the last may be shorter.
 
     df: doc_id, text. Returns doc_id, piece, start, length, ids_crc32 and with with_ids the ids
-    (binary, little-endian unsigned 32-bit). Null text counts as empty: one piece with only `end`. The
+    (binary, little-endian unsigned 32-bit). Null text counts as empty: one piece with only `end`. A null doc_id is kept, other columns are
+    dropped, an empty table gives an empty result. The
     tokenizer must treat words apart (by_word), as one does that drops white space and cuts there.
     """
     prepare(df.sparkSession)
@@ -221,7 +222,8 @@ def pack(cuts: DataFrame, capacity: int = LENGTH) -> DataFrame:
     of their length from counts per (length, hash bucket), with no task that sees all of
     a length. Best fit needs only how many pieces there are of each length, so the driver holds at most
     `capacity` counts, and the broadcast runs are bounded by the number of lengths, whatever the corpus. Equal rows
-    are packed each for itself; an empty table packs into nothing.
+    are packed each for itself, and a null doc_id is a value like any other; an empty table packs into nothing. Of pieces of one length, those
+    with the smaller hash, then doc_id and piece, go into earlier sequences; of bins of one remaining capacity the first is taken.
     """
     spark = cuts.sparkSession
     cuts = cut(cuts)

@@ -77,8 +77,8 @@ def plan_cuts(summary, shards: int) -> tuple[list[int], list[int]]:
     summary(depth, prefixes): rows (prefix, bytes, least key, greatest key) of the groups by the
     first `depth` bits of the key, of the given prefixes of the previous depth only, or of all.
 
-    A prefix with one key is one atomic group. Groups above the mean of what is left get a shard
-    of their own, the largest first: at most shards - 1 of them. For the others the
+    A prefix with one key is one atomic group. In the order that is cut, groups above the mean of what is left come first, the largest
+    first, and each fills a shard: at most shards - 1 of them. The others follow by key, and for them the
     smallest feasible capacity is searched by bisection on the boundaries known so far, both
     pessimistically (only those) and optimistically (any position inside a prefix that still
     holds several groups). While the two differ, prefixes that a cut can fall into are
@@ -150,8 +150,8 @@ def shard(df: DataFrame, shards: int = 40, extra: int = 16) -> DataFrame:
 
     A group is all rows with one text. Groups are in the order of a hash of the text, so shards are
     alike in content; the cuts have the least possible maximum for that order (plan_cuts). Null
-    text is empty text. Rows that are equal stay separate rows with slots of their own. With fewer
-    groups than shards some shards stay empty.
+    text is empty text. Rows that are equal stay separate rows with slots of their own; a null doc_id is a value like any other. With fewer
+    groups than shards some shards stay empty; an empty table gives an empty result. Groups of one size keep the order of their hashes.
 
     One shuffle carries 40-byte rows to number the slots: rows are spread by a hash of doc_id, so a
     text that fills a third of the table is dealt out as evenly as any other.
