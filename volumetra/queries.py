@@ -451,7 +451,7 @@ def _flagship() -> None:
 
     def flagship(spark: SparkSession, d: str) -> DataFrame:
         done = compiled(config, "GPU")(spark, d)
-        return out(done.select("sample_id", F.size("trace").alias("fired"), A.total(F.transform("img", lambda x: x.cast("double"))).alias("total"), F.size("img").alias("n")))
+        return out(done.select("sample_id", F.size("trace").alias("fired"), A.total(F.transform("img", lambda x, i: x.cast("double") * (i + 1))).alias("total"), F.size("img").alias("n")))
 
     QUERIES["pipeline_flagship"] = flagship
     for e in entries():  # every registered operator through the compiled pipeline, voxel by voxel

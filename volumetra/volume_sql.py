@@ -195,4 +195,9 @@ t AS (SELECT vec_id, {quantile('p')} AS ql, {quantile('q')} AS qh FROM o),
 e AS (SELECT vec_id, pos, label, least(greatest((v - ql) / greatest(qh - ql, 1e-8), 0), 1) * level AS w FROM v JOIN t USING (vec_id) JOIN f USING (pos)),
 r AS (SELECT vec_id, avg(w) AS nm, stddev_pop(w) AS ns FROM e GROUP BY vec_id)"""
     out[op] = full("SELECT vec_id, pos, label, (w - nm) / greatest(ns, 1e-8) * sp + m AS w FROM e JOIN r USING (vec_id) JOIN s USING (vec_id)", "", ctes)
-    return {f"volume_{k}": v for k, v in out.items()}
+    flagship = f"""{V},
+a AS (SELECT vec_id, pos, (CASE WHEN label > 0 THEN v * {between('RandomBrightnessGPU', 'factor', 0.5, 1.5)} ELSE v END)::FLOAT::DOUBLE AS w FROM v),
+b AS (SELECT vec_id, pos, sqrt((w - min(w) OVER p) / (max(w) OVER p - min(w) OVER p + 1e-5))::FLOAT::DOUBLE AS w FROM a WINDOW p AS (PARTITION BY vec_id)),
+c AS (SELECT vec_id, pos, (CASE WHEN min(w) OVER p = max(w) OVER p THEN w ELSE (w - avg(w) OVER p) / greatest(stddev_pop(w) OVER p, 1e-8) END)::FLOAT::DOUBLE AS w FROM b WINDOW p AS (PARTITION BY vec_id))
+SELECT vec_id AS sample_id, 3 AS fired, round(sum((pos + 1) * w), 5) + 0.0 AS total, count(*)::INTEGER AS n FROM c GROUP BY vec_id"""
+    return {f"volume_{k}": v for k, v in out.items()} | {"pipeline_flagship": flagship}
