@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,26 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d=None: d})()})()
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.prepare(session)
+
+
+def test_released_caches_leave_the_worker():
+    import psutil
+
+    common._cache.clear()
+    me = psutil.Process()
+    common.worker_cache("some words", lambda: {f"word {i}" * 3: str(i) * 40 for i in range(400_000)})
+    full = me.memory_info().rss
+    common.release()
+    assert not common._cache and me.memory_info().rss < full - 50_000_000
+
+
+def test_lines_release_what_other_operators_remember(spark, monkeypatch):
+    """A worker that goes on from language to lines does not keep the words of the first."""
+    from volumetra.llm import linededup
+
+    df = spark.createDataFrame([(1, "a b\nc")], "row long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = linededup.lines(df, "row")
+    common.worker_cache("some words", dict)["a"] = 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b\nc"])], ["row", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2 and not common._cache

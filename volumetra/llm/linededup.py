@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, hot_join, narrowed, prepare
+from .common import cut, fresh, hot_join, narrowed, prepare, release
 
 MIN_LINES = 3  # a run of so many lines is a passage
 MIN_WORDS = 50  # so is one of fewer lines with so many words
@@ -28,6 +28,7 @@ def lines(df: DataFrame, row: str, text: str = "text", min_lines: int = MIN_LINE
     most (null if the text ends before). Null texts have no lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
