@@ -50,7 +50,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates stays: texts joined over a Jaccard similarity of
-    0.8 or more of their sets of five-word shingles. Of rows with one doc_id one stays per group, ties going to the smallest hash of the
+    0.8 or more of their sets of five-word shingles. SimHash prints of those sets within 2 bits are linked by the operator's deletion variants, each link is
+    checked by its exact similarity, and links between prints that differ more are added by an exact join. Of rows with one doc_id one stays per group, ties going to the smallest hash of the
     text; a null doc_id comes last. Null and empty texts are equal texts without words, one group."""
     row, hash_ = fresh(docs, "row"), fresh(docs, "hash")
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hot_join, prepare
+from .common import components, cut, hot_join, prepare, release
 
 WORDS = 3
 SEED = 42
@@ -29,11 +29,15 @@ def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int
         shingles, n = [b" ".join(parts)], 1
     else:
         shingles, n = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)), len(parts) - words + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -41,6 +45,7 @@ def fingerprints(df: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFra
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             values = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values)], ["doc_id", "fp"])
