@@ -74,3 +74,21 @@ def test_lines_release_what_other_operators_remember(spark, monkeypatch):
     common.worker_cache("some words", dict)["a"] = 1
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b\nc"])], ["row", "text"])
     assert sum(b.num_rows for b in run(iter([batch]))) == 2 and not common._cache
+
+
+def test_components_in_few_jobs(spark):
+    """The driver holds every job's plan: a long chain takes as few jobs as a short one. Rounds over all tasks give the same."""
+    ids = list(range(300))
+    random.Random(2).shuffle(ids)
+    links = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(299)] + [(500, 400), (400, 450), (7, 7)], "a long, b long")
+    want = {**dict.fromkeys(range(300), 0), **dict.fromkeys((400, 450, 500), 400)}
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "few jobs")
+    assert {r.node: r.component for r in common.components(links).collect()} == want
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    print(f"{jobs} jobs")
+    assert jobs <= 10
+    for alone in (0, 100):
+        assert {r.node: r.component for r in common.components(links, alone).collect()} == want
+    assert common.components(links.limit(0)).count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .chaining import _runs, pack, seeds, unpack, word_hashes
-from .common import components, cut, hot_join, narrowed, prepare
+from .common import components, cut, hot_join, narrowed, prepare, tidy
 from .simhash import LOWER
 
 WORDS = 5
@@ -89,7 +89,7 @@ def _common(df: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["s"])
 
     best = part.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST)
-    return np.sort(np.array([r["s"] for r in best.collect()], np.int64).view(np.uint64))
+    return np.sort(best.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
@@ -105,6 +105,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
 
     Entries of prefixes are sent in packed columns, one row per bucket of shingles, since a row each would outweigh the text.
     """
+    tidy(df.sparkSession)
     spark = prepare(df.sparkSession).sparkContext
     common = spark.broadcast(_common(df, words))
 
@@ -139,7 +140,6 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         # only texts of candidates are dealt out
-        pairs = cut(pairs)
         one = narrowed(texts.select(F.col("row").alias("a"), F.col("t").alias("x")), pairs.select("a").distinct(), "a")
         two = narrowed(texts.select(F.col("row").alias("b"), F.col("t").alias("y")), pairs.select("b").distinct(), "b")
         both = pairs.join(one, "a").join(two, "b")
@@ -171,6 +171,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
             new = verified(now)
             links = new if links is None else cut(links.unionByName(new))
             joined, k = components(links), k + 1
+            tidy(df.sparkSession)
             pairs = cut(apart(pairs.join(now, ["a", "b"], "left_anti"), joined))
         return links, joined
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hot_join, prepare, release
+from .common import components, cut, forest, hot_join, prepare, release
 
 WORDS = 3
 SEED = 42
@@ -53,22 +53,6 @@ def fingerprints(df: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFra
     return df.select("doc_id", F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, old[a], low)
-        np.minimum.at(label, old[b], low)
-        label = label[label]
-        if (label == old).all():
-            break
-    return label
-
-
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= BITS
 
@@ -106,7 +90,7 @@ def _links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
             found_a.append(s + order[hit])
             found_b.append(s + order[i[hit]])
     cat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-    return _forest(cat(found_a), cat(found_b), n)
+    return forest(cat(found_a), cat(found_b), n)
 
 
 def links(prints: DataFrame) -> DataFrame:
