@@ -63,3 +63,12 @@ def test_stage_deals_out_less_than_the_text(spark, monkeypatch):
     spent, text = written() - before, sum(len(t) for _, t in rows)
     print(f"shuffled {spent / text:.2f} x text")
     assert spent < 0.75 * text
+
+
+def test_workers_hold_few_rows_at_once():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + n))], ["x"]) for i, n in ((0, 1000), (1000, 0), (1000, 257))]
+    got = list(nearcopies._slices(batches))
+    assert max(b.num_rows for b in got) <= nearcopies.SLICE
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(1257))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .chaining import _runs, pack, seeds, unpack, word_hashes
-from .common import components, cut, hot_join, narrowed, prepare, tidy
+from .common import components, cut, hot_join, narrowed, prepare, release, tidy, trim
 from .simhash import LOWER
 
 WORDS = 5
@@ -25,7 +25,8 @@ MOST = 200_000
 PARITY = 512  # bits of the parities of a set, at least
 ROUNDS = 4  # of verification, with one candidate for each class, before all that are left are verified
 BUCKET = 100_000  # entries of prefixes that are joined together, on average
-FLUSH = 1 << 20  # entries that are packed together
+FLUSH = 1 << 19  # entries that are packed together
+SLICE = 256  # texts, or pairs of them, that a worker holds at once beside the batch they came in
 EPS = 1e-9
 
 
@@ -78,13 +79,21 @@ def _pairs(rep: np.ndarray, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows, some at a time; at the end of a task what it held goes back to the system, since workers stay."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            yield b.slice(i, size)
+    trim()
+
+
 def _common(df: DataFrame, words: int) -> np.ndarray:
     """Shingles of OFTEN texts or more of a sample by hash, the most frequent first to stay."""
     rows = df.count()
     part = df.where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col("text").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingles(t, words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["s"])
 
@@ -110,7 +119,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
     common = spark.broadcast(_common(df, words))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             all_ = [shingles(t, words) for t in b.column(1).to_pylist()]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in all_]
             prints = np.array([simhash.majority(s) for s in all_], np.uint64).view(np.int64)
@@ -128,8 +137,11 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep, known = [], {}
+            known = {}  # a text may be in many pairs
+            for b in _slices(batches):
+                keep = []
+                if len(known) > 4 * SLICE:
+                    known.clear()
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     for t in (x, y):
                         if t not in known:
@@ -181,6 +193,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
     links, joined = linked(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, many = [], 0
 
         def out():
@@ -195,7 +208,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
             rows = [(int(where[i]), pack(np.diff(key[i:j], prepend=np.uint64(0))), pack(rep[i:j]), pack(n[i:j]), pack(at[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["bucket", "keys", "reps", "sizes", "places"])
 
-        for b in batches:
+        for b in _slices(batches):
             for row, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 p = unpack(p, np.uint64)
                 if len(p):
@@ -224,6 +237,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for key, rep, n, at in buckets(batches):
             order = np.lexsort((rep, n, key))
             key, rep, n, at = (x[order] for x in (key, rep, n, at))
@@ -242,7 +256,7 @@ def groups(df: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame
             pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             m = len(pair)
             cols = [np.concatenate([none(m), key[i]]), np.concatenate([pair[:, 0], rep[i]]), np.concatenate([pair[:, 1], none(len(i))]), np.concatenate([none(m), n[i]]), np.concatenate([none(m) - 1, at[i]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "a", "b", "n", "at"])
+            yield from _slices([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "a", "b", "n", "at"])], 1 << 15)
 
     met = cut(sent.mapInArrow(meet, "key long, a long, b long, n long, at long"))
     links, joined = linked(met.where("at < 0").select("a", "b").distinct(), links)
